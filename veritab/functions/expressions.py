@@ -94,7 +94,7 @@ def equal_width(v: Column, lo: Column, hi: Column, bins: Column | int) -> Column
     inside = F.least(
         F.coalesce(F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * b.cast("double")), F.lit(0)) + 1, b.cast("bigint")
     )
-    return F.when(v < lo, F.lit(0)).when(v > hi, b + 1).otherwise(inside).cast("int")
+    return F.when(v < lo, F.lit(0)).when(v > hi, b + 1).when(v.isNotNull(), inside).cast("int")
 
 
 def js_part(p: Column, q: Column) -> Column:

@@ -79,9 +79,9 @@ def multi_seed_split(df: DataFrame, target: str, row_id: str, total: int, seeds:
     rows = df.count()
     per_class = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
     quota = quotas(per_class, target, total).select(target, "take")
-    seeded = df.withColumn("dseed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).cast("bigint"))
+    seeded = df.withColumn("dseed", F.explode(F.array(*[F.lit(int(s)).cast("bigint") for s in seeds])))
     keyed = seeded.withColumn("_key", F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.col("dseed").cast("string"))))
-    seeds_df = quota.withColumn("dseed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).cast("bigint"))
+    seeds_df = quota.withColumn("dseed", F.explode(F.array(*[F.lit(int(s)).cast("bigint") for s in seeds])))
     digits = digest_digits(rows)
     cohort = first_by_digest(keyed, ["dseed", target], "_key", row_id, seeds_df, digits)
     # the halves are drawn with a second digest
