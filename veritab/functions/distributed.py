@@ -89,18 +89,19 @@ def _ascending(order: Sequence[Column | str]) -> list[Column]:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS, salts: int = SALTS
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS, salts: int = SALTS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Equi join to a table with distinct keys that splits the hot keys of the left side.
 
     Keys holding at least `hot_rows` rows of `left` are found by a map-side combined count.
     Their rows are spread over `salts` tasks and the matching right rows copied to each.
+    `weight` names a column of `right` that bounds the left rows of its key and saves the count.
     """
     on = list(on)
-    hot = (
-        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
-        .select(*[F.col(k).alias(f"_h_{k}") for k in on])
-    )
+    counted = right.select(*on, F.col(weight).alias("_n")) if weight else left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counted.where(F.col("_n") >= hot_rows).select(*[F.col(k).alias(f"_h_{k}") for k in on])
+    right = right.drop(weight) if weight else right
 
     def same(df: DataFrame) -> Column:
         cond = F.lit(True)

@@ -115,11 +115,11 @@ def spearman(
     run = running_totals(margins, [*PAIR, "side"], ["v"], ["k"])
     # deviation of the average rank from the mean rank
     dev = (F.col("k_run") - F.col("k")) + (F.col("k") + 1) / 2 - (F.col("k_all") + 1) / 2
-    ranks = run.select(*PAIR, "side", "v", dev.cast("double").alias("d"))
-    one = ranks.where("side = 1").select(*PAIR, F.col("v").alias("v1"), F.col("d").alias("d1"))
-    two = ranks.where("side = 2").select(*PAIR, F.col("v").alias("v2"), F.col("d").alias("d2"))
-    j = lookup_join(cells, one, [*PAIR, "v1"], "inner", hot_rows=hot_rows)
-    j = lookup_join(j, two, [*PAIR, "v2"], "inner", hot_rows=hot_rows)
+    ranks = run.select(*PAIR, "side", "v", dev.cast("double").alias("d"), F.col("k").alias("_k"))
+    one = ranks.where("side = 1").select(*PAIR, F.col("v").alias("v1"), F.col("d").alias("d1"), "_k")
+    two = ranks.where("side = 2").select(*PAIR, F.col("v").alias("v2"), F.col("d").alias("d2"), "_k")
+    j = lookup_join(cells, one, [*PAIR, "v1"], "inner", hot_rows=hot_rows, weight="_k")
+    j = lookup_join(j, two, [*PAIR, "v2"], "inner", hot_rows=hot_rows, weight="_k")
     s = j.groupBy(*PAIR).agg(
         F.sum(F.col("k") * F.col("d1") * F.col("d2")).alias("xy"), F.sum(F.col("k") * F.col("d1") * F.col("d1")).alias("xx"),
         F.sum(F.col("k") * F.col("d2") * F.col("d2")).alias("yy"), F.sum("k").alias("n"),
