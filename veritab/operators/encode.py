@@ -68,6 +68,26 @@ def category_state(df: DataFrame, columns: list[str], orders: dict[str, tuple[st
     return checkpointed(intervals.join(codes, ["column_name", "key"]))
 
 
+def interval_lookup(df: DataFrame, state: DataFrame, size: int, name: str) -> DataFrame:
+    """Replace `name` by the category whose interval holds `_draw` (null stays null).
+
+    A band lookup through a grid over [0, 1]: a frequent category covers many cells, so its rows
+    stay spread, and every row meets only the intervals of its own cell.
+    """
+    grid = max(1024, 4 * size)
+    g = float(grid)
+    cells = state.select(
+        F.col("start").alias("_a"), F.col("stop").alias("_b"), F.col("value").alias("_value"),
+        F.explode(F.sequence(F.floor(F.col("start") * g), F.least(F.floor(F.col("stop") * g), F.lit(grid - 1)))).alias("_cell"),
+    )
+    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0 - 2.0**-53), F.col("_draw")))
+    probed = df.withColumn("_x", F.when(F.col("_draw").isNotNull(), x)).withColumn("_cell", F.floor(F.col("_x") * g))
+    if size <= BROADCAST_ROWS:
+        cells = F.broadcast(cells)  # at most grid + categories rows
+    cond = (probed["_cell"] == cells["_cell"]) & (F.col("_x") >= F.col("_a")) & (F.col("_x") < F.col("_b"))
+    return probed.join(cells, cond, "left").withColumn(name, F.col("_value"))
+
+
 @dataclass
 class TableEncoderModel:
     roles: Roles
@@ -177,21 +197,7 @@ class TableEncoderModel:
         return joined.withColumn(name, F.col("_value")).select(*df.columns)
 
     def _inverse_interval(self, df: DataFrame, name: str) -> DataFrame:
-        """Band lookup through a grid over [0, 1]: a frequent category covers many cells, so its
-        rows stay spread, and every row meets only the intervals of its own cell."""
-        grid = max(1024, 4 * self.sizes[name])
-        g = float(grid)
-        cells = self._state(name).select(
-            F.col("start").alias("_a"), F.col("stop").alias("_b"), F.col("value").alias("_value"),
-            F.explode(F.sequence(F.floor(F.col("start") * g), F.least(F.floor(F.col("stop") * g), F.lit(grid - 1)))).alias("_cell"),
-        )
-        x = F.greatest(F.lit(0.0), F.least(F.lit(1.0 - 2.0**-53), F.col(name)))
-        probed = df.withColumn("_x", F.when(F.col(name).isNotNull(), x)).withColumn("_cell", F.floor(F.col("_x") * g))
-        if self.sizes[name] <= BROADCAST_ROWS:
-            cells = F.broadcast(cells)  # at most grid + categories rows
-        cond = (probed["_cell"] == cells["_cell"]) & (F.col("_x") >= F.col("_a")) & (F.col("_x") < F.col("_b"))
-        joined = probed.join(cells, cond, "left")
-        return joined.withColumn(name, F.col("_value")).select(*df.columns)
+        return interval_lookup(df.withColumn("_draw", F.col(name)), self._state(name), self.sizes[name], name).select(*df.columns)
 
     def _inverse_one_hot(self, df: DataFrame, name: str) -> DataFrame:
         values = self.one_hot_values(name)
