@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.functions.distributed import spread
 from veritab.functions.expressions import digest
 from veritab.sources.roles import BOOLEAN, CATEGORICAL, DATETIME, ID, NUMERICAL, Column, Roles
 
@@ -71,8 +72,12 @@ def with_views(sql: str, views: tuple[str, ...]) -> str:
     return f"WITH {head}\n{body}"
 
 
+LARGE = ("orders", "lineitem", "events", "embeddings")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in LARGE else df
 
 
 def pop(spark: SparkSession, sf: str) -> DataFrame:

@@ -124,8 +124,13 @@ def _is_map(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.typeName() == "map"
 
 
-def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> bool:
-    return rows <= bound
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input that comes in fewer splits than there are cores.
+
+    Looks at the scan only. A table of many files is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def first_by_digest(

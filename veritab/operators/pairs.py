@@ -22,6 +22,10 @@ PAIR = ["column_1", "column_2"]
 EMPTY = "column_1 string, column_2 string, value double, n bigint"
 
 
+def _q(name: str) -> str:
+    return name.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def _exploded(
     df: DataFrame, pairs: Sequence[tuple[str, str]], first: Callable[[str], Column], second: Callable[[str], Column], drop_nulls: bool
 ) -> DataFrame:
@@ -29,11 +33,9 @@ def _exploded(
     names = sorted({a for a, _ in pairs} | {b for _, b in pairs})
     wide = df.select(*[first(a).alias(f"x_{a}") for a in names if any(a == p for p, _ in pairs)],
                      *[second(b).alias(f"y_{b}") for b in names if any(b == q for _, q in pairs)])
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(f"x_{a}").alias("v1"), F.col(f"y_{b}").alias("v2"))
-        for a, b in pairs
-    ])
-    out = wide.select(F.inline(cells))
+    # one SQL text instead of hundreds of column calls
+    cells = ", ".join(f"named_struct('column_1', '{_q(a)}', 'column_2', '{_q(b)}', 'v1', `x_{a}`, 'v2', `y_{b}`)" for a, b in pairs)
+    out = wide.selectExpr(f"inline(array({cells}))")
     return out.where(F.col("v1").isNotNull() & F.col("v2").isNotNull()) if drop_nulls else out
 
 

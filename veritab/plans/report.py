@@ -36,8 +36,8 @@ RULES = [
     *_falling("boundary_adherence", (0.95, 0.8), ("Excellent", "Good", "Poor"), "boundary adherence"),
     *_falling("category_adherence", (0.95, 0.8), ("Excellent", "Good", "Poor"), "category adherence"),
     *_falling("sdmetrics_quality", (0.8, 0.6, 0.4), ("Excellent", "Good", "Fair", "Poor"), "overall quality"),
-    *_falling("column_shape", (0.9, 0.8, 0.7, 0.5), ("Excellent", "Very good", "Good", "Fair", "Poor"), "column shape"),
-    *_rising("utility_gap", (0.02, 0.05), ("Excellent", "Good", "Poor"), "utility"),
+    *_falling("column_shape", (0.9, 0.8, 0.7, 0.5), ("Excellent", "Good", "Acceptable", "Poor", "Very poor"), "column shape"),
+    *_rising("utility_gap", (0.02, 0.05), ("Excellent", "Acceptable", "High"), "utility loss"),
 ]
 # These cut points belong to the better tier.
 DETECTION_CUTS = ((0.55, "Excellent"), (0.65, "Good"), (0.75, "Fair"))
