@@ -125,12 +125,12 @@ def _is_map(df: DataFrame, name: str) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input that comes in fewer splits than there are cores.
+    """Use all cores for a small input that comes in far fewer splits than there are cores.
 
-    Looks at the scan only. A table of many files is returned as it is, without a shuffle.
+    Looks at the scan only. A table of many splits is returned as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
 
 
 def first_by_digest(
