@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import bpe, decontaminate, pii, urlfilter
+from veritab.llm import bpe, decontaminate, nearset, pii, pitmanyor, quotes, severity, topk, units, urlfilter
 from veritab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +28,43 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op3_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
+"""
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"))
@@ -59,3 +91,13 @@ SELECT page_id, host, path, rule, matched,
             WHEN matched <> '' THEN 'block' ELSE 'allow' END AS verdict
 FROM own
 """
+
+
+@query
+def op9_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearset.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.formatted(table(spark, sf_dir, "conversations"))
