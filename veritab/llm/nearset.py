@@ -36,7 +36,7 @@ from veritab.llm.common import bounded_batches, fresh
 COORDINATES = 128
 TREES = 16
 DEPTH = 8
-LEAF = 64
+LEAF = 1024
 PART = 1024
 BROADCAST_IDS = 1_000_000
 DEVIATIONS = 5.0
@@ -96,7 +96,7 @@ def _branched(rows: DataFrame, node: Column, percent: float, extra: bool) -> Dat
     return rows.select("doc", F.explode(also if extra else F.array(_child(node, 1))).alias("node"))
 
 
-def _find(parent: dict[int, int] | list[int], i: int) -> int:
+def _find(parent: list[int] | np.ndarray, i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
         i = parent[i]
@@ -111,17 +111,23 @@ def _leaf_ties(least: float):
         def ties(rows: pd.DataFrame) -> pd.DataFrame:
             node, doc = rows["node"].to_numpy(), rows["doc"].to_numpy()
             sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), COORDINATES)
-            parent, out = list(range(len(rows))), []
+            parent, out = np.arange(len(rows)), []  # every row's root, kept flat
             for shift in range(1, len(rows)):
                 a = np.nonzero(node[:-shift] == node[shift:])[0]
                 if not len(a):
                     break
-                like = np.concatenate([np.count_nonzero(sketch[x] == sketch[x + shift], axis=1) for x in np.array_split(a, 1 + len(a) // 4096)])
+                a = a[parent[a] != parent[a + shift]]
+                like = np.zeros(len(a), np.int64)
+                for k in range(0, len(a), 4096):
+                    x = a[k : k + 4096]
+                    like[k : k + 4096] = np.count_nonzero(sketch[x] == sketch[x + shift], axis=1)
                 for i in a[like >= least * COORDINATES].tolist():
                     x, y = _find(parent, i), _find(parent, i + shift)
                     if x != y:
                         parent[y] = x
                         out.append((doc[i], doc[i + shift]))
+                while (parent[parent] != parent).any():
+                    parent = parent[parent]
             return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
         for batch in batches:
