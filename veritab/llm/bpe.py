@@ -31,7 +31,7 @@ LONG = 64  # bytes; longer pieces get a tree of their own
 SCHEMA = "n_tokens bigint, ids binary, decoded binary"
 
 # The characters that the pattern's \s takes (Unicode White_Space).
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Vocabulary:

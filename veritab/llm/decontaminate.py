@@ -30,7 +30,7 @@ WINDOW = 10
 PART_WORDS = 200_000
 # A-Z lower-cased; what is no digit, letter or non-ASCII byte separates words
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
-WORD = re.compile("[0-9A-Za-z-\U0010ffff]+")
+WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 OTHER = chr(1)
 SCHEMA = "n_words bigint, n_hit bigint, items array<string>, hit array<int>, spans array<struct<start:int,end:int>>"
 

@@ -4,8 +4,8 @@
    Documents with equal sets (compared by a 128-bit digest) become one representative.
 2. TREES independent trees branch the representatives. A node picks one minwise coordinate, and now and then a second
    one (1 / threshold children on average), and its rows go to the child their token names. Nodes of one row end, nodes of at
-   most LEAF rows are compared exhaustively on sketches, larger ones branch on. Rows that still share a node after DEPTH
-   levels agree on as many tokens and are tied to the node's smallest row without a comparison.
+   most LEAF rows are compared exhaustively on sketches, larger ones branch on. Rows that still share a large node after the
+   last level agree on as many tokens and are tied to the node's smallest row without a comparison.
    A pair at the threshold is missed by all trees with a probability under 1e-4; above it, less.
 3. The ties (a spanning forest per leaf, not its pairs) give coarse clusters, which hold every link found; a sketch margin
    of five standard deviations keeps true links in.
@@ -22,6 +22,7 @@ a doc_id are one document for linking if their sets are equal; otherwise both te
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from veritab.llm.common import bounded_batches, fresh
 
 COORDINATES = 128
 TREES = 16
-DEPTH = 8
+LEVELS = 4  # and one more for each tenfold of representatives from a million on
 LEAF = 1024
 PART = 1024
 BROADCAST_IDS = 1_000_000
@@ -150,7 +151,8 @@ def coarse_ties(sets: DataFrame, threshold: float) -> DataFrame:
     tokens = sets.select("doc", "coordinates")
     rows = _branched(tokens.select("doc", "coordinates", F.explode(trees).alias("tree")), F.col("tree"), 0, False)
     ties, leaves = [], []
-    for depth in range(1, DEPTH + 1):
+    levels = max(LEVELS, math.ceil(math.log10(max(1, sets.count()))) - 2)
+    for depth in range(1, levels + 1):
         rows = stored(rows, "nodes")
         size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("least")).where("size > 1")
         sized = stored(rows.join(size, "node"), "sized")
@@ -158,7 +160,7 @@ def coarse_ties(sets: DataFrame, threshold: float) -> DataFrame:
         large = sized.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
-        if depth == DEPTH:
+        if depth == levels:
             ties.append(large.where(F.col("doc") != F.col("least")).select(F.col("least").alias("a"), F.col("doc").alias("b")))
         else:
             rows = _branched(large.select("doc", "node").join(tokens, "doc"), F.col("node"), 1 / threshold - 1, True)
