@@ -194,3 +194,23 @@ def test_auroc_and_threshold_with_ties(spark):
     assert best_threshold(df, "y", "p", "precision") == pytest.approx(0.51)
     with pytest.raises(ValueError):
         best_threshold(df, "y", "p", "luck")
+
+
+def test_null_keys_are_spread(spark):
+    """Rows with a null key meet nothing in a left join and do not gather in one task."""
+    from pyspark.sql import functions as F
+
+    from veritab.functions.distributed import lookup_join
+
+    left = spark.range(40_000).select(F.when(F.col("id") % 100 == 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(0, 40_000, 100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, {"spark.sql.adaptive.enabled": "false"}.get(key, "-1"))
+    try:
+        joined = lookup_join(left, right, ["k"], how="left", hot_rows=1000)
+        sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 40_000 and joined.where("w is not null").count() == 400
+        assert max(sizes) < 15_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

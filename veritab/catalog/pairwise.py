@@ -151,7 +151,7 @@ def pair_diagnostics(spark, sf):
     return scores(pairs.pair_diagnostics(*sides(spark, sf), t.ROLES))
 
 
-@query("worst_pairs", f"WITH {LABELED}, {TRENDS} SELECT column_1, column_2, metric, round(score, 6) AS score FROM tr ORDER BY tr.score, column_1, column_2 LIMIT 5", VIEWS)
+@query("worst_pairs", f"WITH {LABELED}, {TRENDS} SELECT column_1, column_2, metric, round(score, 6) AS score FROM tr ORDER BY round(tr.score, 9), column_1, column_2 LIMIT 5", VIEWS)
 def worst_pairs(spark, sf):
     return scores(pairs.worst_pairs(pairs.pair_trends(*sides(spark, sf), t.ROLES)))
 

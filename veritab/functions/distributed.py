@@ -114,7 +114,11 @@ def lookup_join(
     marked_right = right.join(F.broadcast(hot), same(right), "left")
     is_hot = F.col(f"_h_{on[0]}").isNotNull()
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if not _is_map(left, c)]), F.lit(salts)).cast("int")
-    salted_left = marked_left.withColumn("_salt", F.when(is_hot, spread).otherwise(0)).drop(*[f"_h_{k}" for k in on])
+    # a null key meets nothing, so its rows may go anywhere
+    loose = is_hot
+    for k in on:
+        loose = loose | left[k].isNull()
+    salted_left = marked_left.withColumn("_salt", F.when(loose, spread).otherwise(0)).drop(*[f"_h_{k}" for k in on])
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = marked_right.withColumn("_salt", F.explode(copies)).drop(*[f"_h_{k}" for k in on])
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")

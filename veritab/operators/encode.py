@@ -81,7 +81,9 @@ def interval_lookup(df: DataFrame, state: DataFrame, size: int, name: str) -> Da
         F.explode(F.sequence(F.floor(F.col("start") * g), F.least(F.floor(F.col("stop") * g), F.lit(grid - 1)))).alias("_cell"),
     )
     x = F.greatest(F.lit(0.0), F.least(F.lit(1.0 - 2.0**-53), F.col("_draw")))
-    probed = df.withColumn("_x", F.when(F.col("_draw").isNotNull(), x)).withColumn("_cell", F.floor(F.col("_x") * g))
+    plain = [F.col(f"`{f.name}`") for f in df.schema if f.dataType.typeName() != "map"]
+    away = F.lit(-1) - F.pmod(F.xxhash64(*plain), F.lit(4096))  # rows without a draw meet no cell, in many places
+    probed = df.withColumn("_x", F.when(F.col("_draw").isNotNull(), x)).withColumn("_cell", F.coalesce(F.floor(F.col("_x") * g), away))
     if size <= BROADCAST_ROWS:
         cells = F.broadcast(cells)  # at most grid + categories rows
     cond = (probed["_cell"] == cells["_cell"]) & (F.col("_x") >= F.col("_a")) & (F.col("_x") < F.col("_b"))

@@ -244,5 +244,5 @@ def pair_diagnostics(real: DataFrame, syn: DataFrame, roles: Roles) -> DataFrame
 
 
 def worst_pairs(trends: DataFrame, k: int = 5) -> DataFrame:
-    """The k pairs with the lowest score."""
-    return trends.where(F.col("score").isNotNull()).orderBy("score", *PAIR).limit(k)
+    """The k pairs with the lowest score; scores that agree to nine digits are tied and go by name."""
+    return trends.where(F.col("score").isNotNull()).orderBy(F.round("score", 9), *PAIR).limit(k)
