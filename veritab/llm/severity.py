@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, levels: int, sample:
             w, c = train(all_["text"].tolist(), all_["grade"].to_numpy(np.int64), levels)
             yield pd.DataFrame([(w.tobytes(), c.tobytes())], columns=["w", "c"])
 
-    got = texts.coalesce(1).mapInPandas(run, "w binary, c binary").first()
+    got = texts.repartition(1).mapInPandas(run, "w binary, c binary").first()
     if got is None:
         return np.zeros(1 << BITS, np.float32), np.full(max(1, levels - 1), 40.0)
     return np.frombuffer(got.w, np.float32), np.frombuffer(got.c, np.float64)
