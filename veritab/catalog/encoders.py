@@ -29,7 +29,7 @@ def _intervals(cols, order: str = "n DESC, value") -> str:
 
 
 def _draw(c: str, a: str) -> str:
-    u = f"CAST(CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || ':{c}:0'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296"
+    u = f"CAST(CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || ':{c}:0'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496"
     return f"{a}.start + {u} * ({a}.stop - {a}.start)"
 
 

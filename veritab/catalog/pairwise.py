@@ -151,8 +151,22 @@ def pair_diagnostics(spark, sf):
     return scores(pairs.pair_diagnostics(*sides(spark, sf), t.ROLES))
 
 
-@query("worst_pairs", f"WITH {LABELED}, {TRENDS} SELECT column_1, column_2, metric, round(score, 6) AS score FROM tr ORDER BY round(tr.score, 9), column_1, column_2 LIMIT 5", VIEWS)
+@query(
+    "worst_pairs",
+    f"""WITH {LABELED}, {TRENDS} SELECT column_1, column_2, round(r.value, 6) AS real_value, r.n AS real_n, round(s.value, 6) AS synthetic_value, round(tr.score, 6) AS score
+  FROM {_assoc('ref')} r JOIN {_assoc('syn')} s USING (column_1, column_2) JOIN tr USING (column_1, column_2) WHERE r.value IS NOT NULL AND s.value IS NOT NULL
+  ORDER BY round(tr.score, 9), column_1, column_2 LIMIT 5""",
+    VIEWS,
+)
 def worst_pairs(spark, sf):
-    return scores(pairs.worst_pairs(pairs.pair_trends(*sides(spark, sf), t.ROLES)))
+    return scores(pairs.worst_pairs(pairs.pair_diagnostics(*sides(spark, sf), t.ROLES)))
 
 
+@query(
+    "pair_score_matrix",
+    f"""WITH {LABELED}, {TRENDS}, m AS (SELECT column_1, column_2, round(score, 6) AS score FROM tr)
+  SELECT * FROM m UNION ALL SELECT column_2, column_1, score FROM m UNION ALL SELECT c, c, 1.0 FROM (SELECT unnest({F9!r}) AS c)""",
+    VIEWS,
+)
+def pair_score_matrix(spark, sf):
+    return scores(pairs.pair_score_matrix(*sides(spark, sf), t.ROLES))

@@ -11,7 +11,7 @@ from veritab.operators import repair as rp
 
 VIEWS = ("ref", "syn")
 OTHERS = ["segment", "nation", "tier"]
-U = "CAST(CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || ':priority:repair:0'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296"
+U = "CAST(CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || ':priority:repair:0'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496"
 BAD = "bad AS (SELECT * FROM syn WHERE priority NOT IN (SELECT priority FROM ref))"
 
 

@@ -128,13 +128,12 @@ def _is_map(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.typeName() == "map"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a small input that comes in far fewer splits than there are cores.
-
-    Looks at the scan only. A table of many splits is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+def _cumulated(staged: DataFrame, strata: list[str], digits: int) -> DataFrame:
+    """(strata, _b, _n, _run): histogram over digest prefixes with its running count, at most 16^digits rows per stratum."""
+    hist = staged.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    if digits <= 4:
+        return hist.withColumn("_run", F.sum("_n").over(Window.partitionBy(*strata).orderBy("_b")))
+    return running_totals(hist, strata, ["_b"], ["_n"]).withColumnRenamed("_n_run", "_run").drop("_n_all")
 
 
 def first_by_digest(
@@ -148,11 +147,8 @@ def first_by_digest(
     """
     strata = list(strata)
     staged = df.withColumn("_b", F.substring(key, 1, digits))
-    hist = staged.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*strata).orderBy("_b")
-    # at most 16^digits rows per stratum
     edge = (
-        hist.withColumn("_run", F.sum("_n").over(upto))
+        _cumulated(staged, strata, digits)
         .join(F.broadcast(quota), strata)
         .where((F.col("_run") >= F.col("take")) & (F.col("_run") - F.col("_n") < F.col("take")))
         .select(*strata, F.col("_b").alias("_edge"), (F.col("take") - F.col("_run") + F.col("_n")).alias("_left"))
@@ -169,10 +165,7 @@ def rank_by_digest(df: DataFrame, strata: Sequence[str], key: str, tie: str, dig
     """Row number per stratum in digest order, ranked inside even digest buckets."""
     strata = list(strata)
     staged = df.withColumn("_b", F.substring(key, 1, digits))
-    hist = staged.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*strata).orderBy("_b")
-    # at most 16^digits rows per stratum
-    offsets = hist.select(*strata, "_b", (F.sum("_n").over(upto) - F.col("_n")).alias("_off"))
+    offsets = _cumulated(staged, strata, digits).select(*strata, "_b", (F.col("_run") - F.col("_n")).alias("_off"))
     inside = Window.partitionBy(*strata, "_b").orderBy(key, tie)
     ranked = staged.withColumn("_rn", F.row_number().over(inside))
     joined = ranked.join(F.broadcast(offsets) if digits <= 3 else offsets, [*strata, "_b"])
@@ -182,7 +175,7 @@ def rank_by_digest(df: DataFrame, strata: Sequence[str], key: str, tie: str, dig
 def digest_digits(rows: int, per_bucket: int = 200_000) -> int:
     """Leading hex digits that keep a digest bucket near `per_bucket` rows."""
     digits = 1
-    while rows / 16**digits > per_bucket and digits < 5:
+    while rows / 16**digits > per_bucket:
         digits += 1
     return digits
 

@@ -24,7 +24,7 @@ def uniform(row_id: Column | str, *salt: object) -> Column:
     A digest rather than rand(): a retried or repartitioned task draws the same number.
     """
     text = F.concat_ws(":", as_col(row_id).cast("string"), *[F.lit(str(s)) for s in salt])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
 def digest(row_id: Column | str, *salt: object) -> Column:
@@ -62,15 +62,17 @@ def micros(c: Column | str) -> Column:
 
 
 def canonical_text(c: Column | str, dtype: str) -> Column:
-    """One spelling per value: null -> Missing, True/False, whole doubles without a fraction."""
+    """One spelling per value, and one value per spelling: null -> Missing, True/False, whole doubles without a fraction."""
     c = as_col(c)
     if dtype == "boolean":
         text = F.when(c, F.lit("True")).otherwise(F.lit("False"))
     elif dtype in ("double", "float"):
         d = c.cast("double")
         whole = (d == F.floor(d)) & (F.abs(d) < F.lit(9.0e15))
-        plain = F.regexp_replace(F.regexp_replace(d.try_cast("decimal(38,12)").cast("string"), "0+$", ""), "\\.$", "")
-        text = F.when(whole, d.try_cast("bigint").cast("string")).otherwise(F.coalesce(plain, d.cast("string")))
+        exact = d.cast("string").try_cast("decimal(38,18)")
+        plain = F.regexp_replace(F.regexp_replace(exact.cast("string"), "0+$", ""), "\\.$", "")
+        # the plain spelling where it reads back as the same number, else the shortest one with an exponent
+        text = F.when(whole, d.try_cast("bigint").cast("string")).when(plain.try_cast("double") == d, plain).otherwise(d.cast("string"))
         return F.when(c.isNull() | F.isnan(d), F.lit(MISSING)).otherwise(text)
     else:
         text = c.cast("string")

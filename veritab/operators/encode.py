@@ -35,8 +35,10 @@ def key_of(c: Column) -> Column:
 
 def decimals(c: Column) -> Column:
     """Number of decimals in the shortest spelling of a double."""
-    text = F.regexp_extract(canonical_text(c, "double"), "\\.(\\d+)$", 1)
-    return F.when(c.isNotNull(), F.length(text))
+    text = canonical_text(c, "double")
+    small = F.regexp_extract(text, "E-(\\d+)$", 1)
+    fraction = F.length(F.regexp_extract(text, "\\.(\\d+)(?:E-\\d+)?$", 1))
+    return F.when(c.isNotNull(), fraction + F.coalesce(small.try_cast("int"), F.lit(0)))
 
 
 def category_state(df: DataFrame, columns: list[str], orders: dict[str, tuple[str, ...]]) -> DataFrame:

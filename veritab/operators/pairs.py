@@ -43,7 +43,7 @@ def _none(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], EMPTY)
 
 
-def cramers_v(df: DataFrame, roles: Roles, columns: Sequence[str] | None = None) -> DataFrame:
+def cramers_v(df: DataFrame, roles: Roles, columns: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Cramer's V with the 2x2 continuity correction.
 
     Cells that never occur need no rows: together they add n - sum(expected of the others) to
@@ -55,13 +55,15 @@ def cramers_v(df: DataFrame, roles: Roles, columns: Sequence[str] | None = None)
         return _none(df)
     cells = _exploded(df, pairs, as_text, as_text, drop_nulls=True)
     cells = checkpointed(cells.groupBy(*PAIR, "v1", "v2").agg(F.count(F.lit(1)).cast("double").alias("o")))
-    rows = cells.groupBy(*PAIR, "v1").agg(F.sum("o").alias("r"))
-    cols2 = cells.groupBy(*PAIR, "v2").agg(F.sum("o").alias("c"))
+    rows = cells.groupBy(*PAIR, "v1").agg(F.sum("o").alias("r"), F.count(F.lit(1)).alias("_k"))
+    cols2 = cells.groupBy(*PAIR, "v2").agg(F.sum("o").alias("c"), F.count(F.lit(1)).alias("_k"))
     # one row per pair in both
     row_side = rows.groupBy(*PAIR).agg(F.sum("r").alias("total"), F.count(F.lit(1)).alias("nr"), F.sum(1 / F.col("r")).alias("ir"))
     col_side = cols2.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("nc"), F.sum(1 / F.col("c")).alias("ic"))
     sizes = row_side.join(F.broadcast(col_side), PAIR)
-    filled = cells.join(rows, [*PAIR, "v1"]).join(cols2, [*PAIR, "v2"]).join(F.broadcast(sizes), PAIR)
+    # one value of a narrow column can meet most values of a wide one
+    filled = lookup_join(cells, rows, [*PAIR, "v1"], "inner", hot_rows=hot_rows, weight="_k")
+    filled = lookup_join(filled, cols2, [*PAIR, "v2"], "inner", hot_rows=hot_rows, weight="_k").join(F.broadcast(sizes), PAIR)
     e = F.col("r") * F.col("c") / F.col("total")
     d = F.abs(F.col("o") - e)
     stat = filled.groupBy(*PAIR).agg(
@@ -243,6 +245,14 @@ def pair_diagnostics(real: DataFrame, syn: DataFrame, roles: Roles) -> DataFrame
     return out.where(F.col("real_value").isNotNull() & F.col("synthetic_value").isNotNull() & F.col("score").isNotNull())
 
 
-def worst_pairs(trends: DataFrame, k: int = 5) -> DataFrame:
-    """The k pairs with the lowest score; scores that agree to nine digits are tied and go by name."""
-    return trends.where(F.col("score").isNotNull()).orderBy(F.round("score", 9), *PAIR).limit(k)
+def pair_score_matrix(real: DataFrame, syn: DataFrame, roles: Roles) -> DataFrame:
+    """Trend score of every pair in both directions, and 1 for a column with itself."""
+    found = pair_trends(real, syn, roles).select(*PAIR, "score")
+    own = real.sparkSession.createDataFrame([(c, c, 1.0) for c in roles.features], "column_1 string, column_2 string, score double")
+    swapped = found.select(F.col("column_2").alias("column_1"), F.col("column_1").alias("column_2"), "score")
+    return found.unionByName(swapped).unionByName(own)
+
+
+def worst_pairs(diagnostics: DataFrame, k: int = 5) -> DataFrame:
+    """The k diagnosed pairs with the lowest score; scores that agree to nine digits are tied and go by name."""
+    return diagnostics.where(F.col("score").isNotNull()).orderBy(F.round("score", 9), *PAIR).limit(k)

@@ -22,12 +22,12 @@ def _rising(metric: str, cuts: tuple[float, ...], tiers: tuple[str, ...], what:
 
 
 RULES = [
-    *_falling("authenticity", (0.8, 0.6), ("Strong", "Moderate", "Low"), "authenticity"),
+    *_falling("authenticity", (0.8, 0.6), ("Strong", "Moderate", "Low"), "authenticity (OC)"),
     *_falling("prdc_score", (0.8, 0.6), ("Strong", "Moderate", "Low"), "PRDC performance"),
-    *_rising("wasserstein_distance", (0.01, 0.05, 0.1), ("Excellent", "Good", "Moderate", "Poor"), "distributional similarity (transport)"),
+    *_rising("wasserstein_distance", (0.01, 0.05, 0.1), ("Excellent", "Good", "Moderate", "Poor"), "distributional similarity (Wasserstein)"),
     *_rising("maximum_mean_discrepancy", (0.001, 0.01, 0.1), ("Excellent", "Good", "Moderate", "Poor"), "distributional similarity (MMD)"),
-    *[r for m in ("jensenshannon_synthcity", "jensenshannon_syndat", "jensenshannon_nannyml")
-      for r in _rising(m, (0.01, 0.05, 0.1), ("Excellent", "Good", "Moderate", "Poor"), "distributional similarity (JS)")],
+    *[r for m, what in (("jensenshannon_synthcity", "JS-Synthcity"), ("jensenshannon_syndat", "JS-SYNDAT"), ("jensenshannon_nannyml", "JS-NannyML"))
+      for r in _rising(m, (0.01, 0.05, 0.1), ("Excellent", "Good", "Moderate", "Poor"), f"distributional similarity ({what})")],
     *_falling("new_row_synthesis", (0.9, 0.7), ("Excellent", "Good", "Low"), "synthesis novelty"),
     *_falling("ks_complement", (0.9, 0.7), ("Excellent", "Good", "Poor"), "distribution similarity"),
     *_falling("tv_complement", (0.9, 0.7), ("Excellent", "Good", "Poor"), "categorical similarity"),
@@ -35,7 +35,7 @@ RULES = [
     *_falling("semantic_structure", (0.95, 0.8), ("Perfect", "Good", "Poor"), "semantic structure match"),
     *_falling("boundary_adherence", (0.95, 0.8), ("Excellent", "Good", "Poor"), "boundary adherence"),
     *_falling("category_adherence", (0.95, 0.8), ("Excellent", "Good", "Poor"), "category adherence"),
-    *_falling("sdmetrics_quality", (0.8, 0.6, 0.4), ("Excellent", "Good", "Fair", "Poor"), "overall quality"),
+    *_falling("sdmetrics_quality", (0.8, 0.6, 0.4), ("Excellent", "Good", "Fair", "Poor"), "overall quality (SDMetrics)"),
     *_falling("column_shape", (0.9, 0.8, 0.7, 0.5), ("Excellent", "Good", "Acceptable", "Poor", "Very poor"), "column shape"),
     *_rising("utility_gap", (0.02, 0.05), ("Excellent", "Acceptable", "High"), "utility loss"),
 ]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.distributed import checkpointed
-from veritab.operators import marginal, pairs, privacy, rows, scaling, spatial, structure
+from veritab.operators import detect, marginal, pairs, privacy, rows, scaling, spatial, structure
 from veritab.operators.encode import TableEncoderModel, encoded_columns
 from veritab.sources.roles import Roles
 
@@ -104,14 +104,19 @@ METRICS: dict[str, tuple[str, Callable[[Inputs, dict], DataFrame]]] = {
     "new_row_synthesis": ("decoded", lambda i, p: _single(rows.new_row_score(
         i.reference, i.synthetic, i.roles, p.get("numerical_match_tolerance", 0.01), p.get("synthetic_sample_size")), "score")),
     "alpha_precision": ("encoded", lambda i, p: _single(spatial.alpha_precision(*i.vectors()), "delta_precision_alpha")),
-    "prdc_score": ("encoded", lambda i, p: _single(spatial.prdc(*i.vectors(), k=p.get("nearest_k", 5)), "precision")),
+    "authenticity": ("encoded", lambda i, p: _single(spatial.alpha_precision(*i.vectors()), "authenticity")),
+    "prdc_score": ("encoded", lambda i, p: _single(spatial.prdc(*i.vectors(), k=p.get("nearest_k", 5)).withColumn(
+        "mean", (F.col("precision") + F.col("recall") + F.col("coverage")) / 3), "mean")),
     "wasserstein_distance": ("encoded", lambda i, p: _single(
         spatial.sinkhorn(*i.vectors()) if p.get("exact") else spatial.sliced_wasserstein(*i.vectors()), "sinkhorn" if p.get("exact") else "sliced_wasserstein")),
     "maximum_mean_discrepancy": ("encoded", lambda i, p: _single(
         (spatial.mmd if p.get("exact", False) else spatial.mmd_rff)(*i.vectors(), gamma=p.get("gamma")), "mmd2")),
-    "k_anonymization": ("decoded", lambda i, p: _named(privacy.k_anonymity(i.datasets(), p["qi_columns"]), "dataset", "k")),
-    "k_ratios": ("decoded", lambda i, p: _named(privacy.k_ratios(privacy.k_anonymity(i.datasets(), p["qi_columns"])).withColumn(
+    "k_anonymization": ("decoded", lambda i, p: _named(privacy.k_anonymity(i.datasets(), p.get("qi_columns") or i.roles.quasi_identifiers), "dataset", "k")),
+    "k_ratios": ("decoded", lambda i, p: _named(privacy.k_ratios(privacy.k_anonymity(i.datasets(), p.get("qi_columns") or i.roles.quasi_identifiers)).withColumn(
         "pair", F.concat_ws("/", "numerator", "denominator")), "pair", "ratio")),
+    "k_cluster": ("decoded", lambda i, p: _named(privacy.k_cluster(i.datasets(), p.get("qi_columns") or i.roles.quasi_identifiers, i.roles), "dataset", "k")),
+    **{m: ("decoded", lambda i, p, m=m: _single(detect.detection(i.reference, i.synthetic, i.roles, m, **p).agg(
+        F.avg("auroc").alias("mean_auroc"), F.max("auroc").alias("max_auroc")), "mean_auroc")) for m in detect.DETECTORS},
     "fact_rates": ("decoded", lambda i, p: _named(rows.fact_rates(i.population, i.training, i.synthetic, i.roles, p.get("num_bins", 20)), "rate_name", "rate")),
 }
 

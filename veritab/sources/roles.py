@@ -59,6 +59,7 @@ class Column:
 @dataclass(frozen=True)
 class Roles:
     columns: tuple[Column, ...] = field(default_factory=tuple)
+    quasi: tuple[str, ...] = ()  # quasi-identifiers; every feature if none is named
 
     def __iter__(self):
         return iter(self.columns)
@@ -73,6 +74,10 @@ class Roles:
     def names(self) -> list[str]:
         return [c.name for c in self.columns]
 
+    @property
+    def quasi_identifiers(self) -> list[str]:
+        return list(self.quasi) or self.features
+
     def of(self, *roles: str, within: Iterable[str] | None = None) -> list[str]:
         """Names of the columns with one of the roles, restricted to `within` when given."""
         keep = None if within is None else set(within)
