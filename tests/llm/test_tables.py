@@ -100,7 +100,9 @@ def test_near_groups(spark, sf, width, percent, monkeypatch):
     want, got = groups(rows, width, percent), nearset.near_groups(df, width, percent).collect()
     assert len(got) == len(rows) + 2
     for r in got:
-        if r.doc_id is not None:
+        if r.doc_id is None:
+            assert (r.n_shingles, r.component_id, r.kept) == (1, None, None)
+        else:
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id), r
     assert nearset.near_groups(df.limit(0)).count() == 0
     kept = nearset.one_of_each(df, width, percent)

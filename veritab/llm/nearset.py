@@ -154,7 +154,8 @@ def coarse_ties(sets: DataFrame, threshold: float) -> DataFrame:
     levels = max(LEVELS, math.ceil(math.log10(max(1, sets.count()))) - 2)
     for depth in range(1, levels + 1):
         rows = stored(rows, "nodes")
-        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("least")).where("size > 1")
+        # stored, as adaptive execution splits a hot key only where both sides of a join come straight from a shuffle
+        size = stored(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("least")).where("size > 1"), "sizes")
         sized = stored(rows.join(size, "node"), "sized")
         leaves.append(sized.where(F.col("size") <= LEAF).select("node", "doc"))
         large = sized.where(F.col("size") > LEAF)
@@ -238,7 +239,7 @@ def _linked(percent: int, only_across: bool = False):
 
 def links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) inside the clusters (doc, group), as spanning forests."""
-    sizes = clusters.groupBy("group").agg(F.count(F.lit(1)).alias("many"))
+    sizes = stored(clusters.groupBy("group").agg(F.count(F.lit(1)).alias("many")), "many")
     # documents of a large cluster are dealt into parts; a pair of parts is a task
     parts = F.ceil(F.col("many") / PART).cast("int")
     own = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
@@ -274,11 +275,11 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame
     whole = stored(clusters.union(clusters.select(F.col("group").alias("doc"), "group")).distinct(), "clusters")
     found = components(links(rows, sets, whole, width, percent))
     named = stored(found.union(found.select("group", "group")).distinct(), "components")
-    smallest = named.groupBy("group").agg(F.min("node").alias("component"))
+    smallest = stored(named.groupBy("group").agg(F.min("node").alias("component")), "smallest")
     by_doc = named.join(smallest, "group").select(F.col("node").alias("doc"), "component")
     by_set = sets.select("digest", "doc").join(by_doc, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
-    out = every.select("doc", "n", "digest").join(by_set, "digest", "left")
-    own = F.coalesce("component", "doc")
+    out = every.select("doc", "n", "digest").join(stored(by_set, "by_set"), "digest", "left")
+    own = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("doc") == own).alias("kept"))
 
 
