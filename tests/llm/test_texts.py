@@ -122,6 +122,21 @@ def test_repeated_passages(spark):
     assert units.report(docs.limit(0)).count() == 0
 
 
+def test_short_sentences_and_passages_repeat(spark):
+    line = "The and attion. To thanedble the, anea. Eriner thanea."
+    block = "one\ntwo\nthree four\nfive six\nseven eight"
+    run = " ".join(f"Word{i} of it." for i in range(20))  # 60 words, no sentence above 3
+    loop = "la " * 200
+    rows = [(1, f"{line}\nx"), (2, f"y\n{line.upper()}\nz"), (3, f"{block}\n\nother"), (4, f"u\n\n{block}"), (5, f"a b {run} c d"), (6, f"Not here {run}\nafter"), (7, loop), (None, "no")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    r = units.repeats(docs)
+    cut = {x.doc_id: x.t for x in docs.join(r, "doc_id").select("doc_id", units.without(F.col("text"), F.col("removed")).alias("t")).collect()}
+    assert [cut[i] for i in (1, 3, 5)] == [rows[i - 1][1] for i in (1, 3, 5)]  # the earliest stay
+    assert cut[2] == "y\n\nz" and cut[4] == "u\n\n" and cut[6] == "Not here .\nafter"
+    assert cut[7].split() == ["la"] * units.PASSAGE
+    assert {x.doc_id: x.source_ids for x in units.report(docs).collect() if x.source_ids} == {2: [1], 4: [3], 6: [5], 7: [7]}
+
+
 def test_severity_is_learned_and_ordered(spark):
     rng = np.random.default_rng(3)
     rows, labels = [], []

@@ -1,8 +1,14 @@
-"""Substring dedup by hashed lines and sentences (operator 7).
+"""Substring dedup by hashed sentences, lines, paragraphs and passages (operator 7).
 
-A text is cut into lines and these at sentence ends, so that a passage inside a longer line is made of units of its own.
-Units of at least `least` words are normalised (case, digits' and spaces' runs, punctuation), hashed to 128 bits and counted
-over all documents; the earliest occurrence by (doc_id, offset) stays and the others go, each with its original offsets.
+A text is cut into paragraphs (at lines without words), lines and sentences. Hashed are sentences of at least `least` words, lines of
+at least LINE words however short their sentences, and paragraphs of at least `least` words; a line that consists of hashed sentences,
+and a paragraph of hashed lines or with a hashed sentence, is left to these. Units are normalised (case, spaces, punctuation), hashed to 128 bits and counted over
+all documents; the earliest occurrence by (doc_id, offset) stays and the others go, each with its original offsets.
+
+Passages are runs of at least PASSAGE words, wherever they start: each window of PASSAGE words that occurs earlier goes, and windows
+that touch make one span. Not every window is shuffled: winnowing picks the least hash of GRAM words in each run of as many
+grams as a window has, so equal windows hold equal anchors. Windows are hashed around anchors that repeat only. A window
+that overlaps its own earliest occurrence gives up the words after that only, so one copy always stays.
 
 Counting combines in each task, so that a unit with a third of all occurrences is one row per task. The units that repeat
 are sent to every task only if they are few (checked), else joined with hot units split.
@@ -17,8 +23,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.distributed import BROADCAST_ROWS, lookup_join
@@ -26,23 +34,101 @@ from veritab.functions.workspace import stored
 from veritab.llm.common import bounded_batches
 
 LEAST = 8
+LINE = 3
+PASSAGE = 50
+GRAM = 25
 UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t\r\n])|(?=\n)|\Z)")
 KEEP = re.compile(r"[^\W_]+")
-ROWS = "doc bigint, row bigint, start int, stop int, high bigint, low bigint"
+ROWS = "doc bigint, row bigint, start int, stop int, high bigint, low bigint, sentence boolean"
+SPANS = "doc bigint, row bigint, start int, stop int, high bigint, low bigint"
+ANCHORS = "row bigint, at int, high bigint"
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _digest(kind: bytes, words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode(), digest_size=16, person=kind).digest()
+
+
+def _trimmed(text: str, start: int, stop: int) -> tuple[int, int]:
+    piece = text[start:stop]
+    return start + len(piece) - len(piece.lstrip()), start + len(piece.rstrip())
 
 
-def units(text: str, least: int) -> Iterator[tuple[int, int, bytes]]:
-    """Offsets and digest of each unit of a text that is long enough."""
+def units(text: str, least: int) -> Iterator[tuple[int, int, bytes, bool]]:
+    """Offsets and digest of each unit of a text that is long enough, and whether it is a sentence."""
     at = 0
-    while at < len(text):
-        end = UNIT.match(text, at).end()
-        piece = text[at:end]
-        words = KEEP.findall(piece.lower())
-        if len(words) >= least:
-            left = len(piece) - len(piece.lstrip())
-            digest = hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
-            yield at + left, at + len(piece.rstrip()), digest
-        at = end + 1 if end < len(text) and text[end] == "\n" or end == at else end
+    block: list[tuple[int, int, list[str]]] = []  # the lines of the paragraph so far
+    rest = long = False  # whether a line of it is not hashed, and whether it holds a sentence that is
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line: list[str] = []
+        short, here = False, at
+        while here < end:
+            stop = max(UNIT.match(text, here, end).end(), here + 1)
+            words = KEEP.findall(text[here:stop].lower())
+            line += words
+            if len(words) >= least:
+                yield *_trimmed(text, here, stop), _digest(b"", words), True
+                long = True
+            elif words:
+                short = True
+            here = stop
+        if line:
+            if short and len(line) >= LINE:
+                yield *_trimmed(text, at, end), _digest(b"line", line), False
+            rest |= short and len(line) < LINE
+            block.append((at, end, line))
+        if block and (not line or end == len(text)):
+            words = [w for _, _, x in block for w in x]
+            if rest and not long and len(words) >= least:
+                yield *_trimmed(text, block[0][0], block[-1][1]), _digest(b"block", words), False
+            block, rest, long = [], False, False
+        at = end + 1
+
+
+def _words(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Two 64-bit hashes of each word of a text (2 x words), and the words' offsets."""
+    at, both = [], []
+    for m in KEEP.finditer(text):
+        at.append(m.span())
+        both.append(xxhash.xxh3_128_digest(m.group().lower().encode()))
+    return np.frombuffer(b"".join(both), np.uint64).reshape(-1, 2).T, at
+
+
+def _runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k words, from prefix sums of a polynomial."""
+    n = len(hashes)
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE)]), dtype=np.uint64)
+        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - k, BACK)]), dtype=np.uint64)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up, dtype=np.uint64)])
+        out = (sums[k:] - sums[:-k]) * down
+        out ^= out >> np.uint64(31)
+        return out * BASE
+
+
+def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Word positions and hashes of the grams that winnowing picks: one at least in each window of PASSAGE words."""
+    hashes, _ = _words(text)
+    if hashes.shape[1] < PASSAGE:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    grams = _runs(hashes[0], GRAM)
+    seen = np.lib.stride_tricks.sliding_window_view(grams, PASSAGE - GRAM + 1)
+    at = np.unique(np.arange(len(seen)) + seen.argmin(1))
+    return at.astype(np.int32), grams[at].view(np.int64)
+
+
+def windows(text: str, near: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """Offsets and hash of each window of PASSAGE words that holds one of the anchors `near`."""
+    hashes, at = _words(text)
+    n = len(at) - PASSAGE + 1
+    first = np.unique((np.asarray(near)[:, None] - np.arange(PASSAGE - GRAM + 1)).ravel())
+    first = first[(first >= 0) & (first < n)]
+    high, low = (_runs(h, PASSAGE)[first].view(np.int64).tolist() for h in hashes)
+    for i, h, d in zip(first.tolist(), high, low, strict=True):
+        yield at[i][0], at[i + PASSAGE - 1][1], h, d
 
 
 def _cut(least: int):
@@ -50,34 +136,93 @@ def _cut(least: int):
         for batch in batches:
             out: list[tuple] = []
             for doc, row, text in batch.itertuples(index=False, name=None):
-                out.append((doc, row, -1, -1, 0, 0))  # each row is there, with or without units
-                for a, b, d in units(text or "", least):
-                    out.append((doc, row, a, b, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-            made = pd.DataFrame(out, columns=["doc", "row", "start", "stop", "high", "low"])
+                out.append((doc, row, -1, -1, 0, 0, False))  # each row is there, with or without units
+                for a, b, d, sentence in units(text or "", least):
+                    out.append((doc, row, a, b, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), sentence))
+            made = pd.DataFrame(out, columns=["doc", "row", "start", "stop", "high", "low", "sentence"])
             yield made.astype({"doc": "Int64"})
 
     return run
 
 
+def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row, text in zip(batch["row"], batch["text"], strict=True):
+            at, high = anchors(text or "")
+            if len(at):
+                yield pd.DataFrame({"row": row, "at": at, "high": high})
+
+
+def _windowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for doc, row, text, near in zip(batch["doc"], batch["row"], batch["text"], batch["near"], strict=True):
+            made = pd.DataFrame(windows(text, near), columns=["start", "stop", "high", "low"])
+            made.insert(0, "row", row)
+            made.insert(0, "doc", pd.array([None if pd.isna(doc) else doc] * len(made), "Int64"))
+            yield made
+
+
+def _later(real: DataFrame, keys: list[str], least: list[str], name: str) -> DataFrame:
+    """The rows of `real` whose keys occur earlier too, with the struct `first` of the earliest."""
+    place = F.struct(*least)
+    first = stored(real.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"), name)
+    if first.count() <= BROADCAST_ROWS:
+        return real.join(F.broadcast(first.drop("n")), keys).where(place != F.col("first"))
+    return lookup_join(real, first, keys, how="inner", weight="n").where(place != F.col("first"))
+
+
+def passages(rows: DataFrame) -> DataFrame:
+    """doc, row, start, stop, sources of the runs that windows of PASSAGE words with an earlier copy make."""
+    picked = stored(rows.select("row", "text").mapInPandas(_anchored, ANCHORS), "anchors")
+    many = stored(picked.groupBy("high").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    again = picked.join(F.broadcast(many.drop("n")), "high") if many.count() <= BROADCAST_ROWS else lookup_join(picked, many, ["high"], how="inner", weight="n")
+    near = again.groupBy("row").agg(F.collect_list("at").alias("near"))
+    found = stored(rows.join(near, "row").select("doc", "row", "text", "near").mapInPandas(_windowed, SPANS), "windows")
+    gone = _later(found, ["high", "low"], ["doc", "row", "start", "stop"], "repeated")
+    # a window that overlaps its kept copy keeps the words that both share
+    kept = F.when(F.col("first.row") == F.col("row"), F.col("first.stop")).otherwise(-1)
+    left = gone.select("doc", "row", F.greatest("start", kept).alias("start"), "stop", F.struct(F.col("first.doc").alias("source")).alias("source")).where("start < stop")
+    order = Window.partitionBy("row").orderBy("start", "stop")
+    # a window may be clipped behind others that start later, so spans end where the longest so far does
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = left.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = apart.groupBy("doc", "row", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set("source").alias("sources"))
+    return runs.select("doc", "row", "start", "stop", F.transform("sources", lambda s: s["source"]).alias("sources"))
+
+
+def _apart(spans: Column) -> Column:
+    """Sorted spans, those that overlap joined."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for s in batch:
+                ids, stop = [], -1
+                for p in s:
+                    if p["start"] >= stop:
+                        ids.append([])
+                    ids[-1].append(p)
+                    stop = max(stop, p["stop"])
+                out.append([{"start": g[0]["start"], "stop": max(p["stop"] for p in g), "sources": list(dict.fromkeys(None if pd.isna(x) else int(x) for p in g for x in p["sources"]))} for g in ids])
+            yield pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<struct<start:int,stop:int,sources:array<bigint>>>")(spans)
+
+
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, row, n_units, removed (array of start, stop, source doc_id in order): one row per row of docs."""
+    """doc_id, row, n_units (sentences of at least `least` words), removed (array of start, stop, source doc_ids in order): one row per row of docs."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    every = stored(rows.mapInPandas(_cut(least), ROWS), "units")  # row numbers hold from here on
-    real = every.where(F.col("start") >= 0)
-    place = F.struct("doc", "row", "start")
-    first = stored(real.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"), "repeated")
-    keys = ["high", "low"]
-    if first.count() <= BROADCAST_ROWS:
-        found = real.join(F.broadcast(first.drop("n")), keys)
-    else:
-        found = lookup_join(real, first, keys, how="inner", weight="n")
-    gone = found.where(place != F.col("first")).select("doc", "row", "start", "stop", F.col("first.doc").alias("source"), F.lit(0).alias("units"))
+    rows = stored(rows, "texts")  # row numbers hold from here on
+    every = stored(rows.mapInPandas(_cut(least), ROWS), "units")
+    gone = _later(every.where(F.col("start") >= 0), ["high", "low"], ["doc", "row", "start"], "repeated")
+    gone = gone.select("doc", "row", "start", "stop", F.array("first.doc").alias("sources")).unionByName(passages(rows)).withColumn("units", F.lit(0))
     none = F.lit(None)
-    count = every.groupBy("doc", "row").agg((F.count(F.lit(1)) - 1).alias("units"))
-    both = count.select("doc", "row", none.cast("int").alias("start"), none.cast("int").alias("stop"), none.cast("bigint").alias("source"), "units").unionByName(gone)
-    span = F.when(F.col("start").isNotNull(), F.struct("start", "stop", "source"))
-    return both.groupBy("doc", "row").agg(F.sum("units").alias("n_units"), F.sort_array(F.collect_list(span)).alias("removed")).withColumnRenamed("doc", "doc_id")
+    count = every.groupBy("doc", "row").agg(F.sum(F.col("sentence").cast("int")).alias("units"))
+    both = count.select("doc", "row", none.cast("int").alias("start"), none.cast("int").alias("stop"), none.cast("array<bigint>").alias("sources"), "units").unionByName(gone)
+    span = F.when(F.col("start").isNotNull(), F.struct("start", "stop", "sources"))
+    found = both.groupBy("doc", "row").agg(F.sum("units").alias("n_units"), F.sort_array(F.collect_list(span)).alias("spans"))
+    return found.select(F.col("doc").alias("doc_id"), "row", "n_units", _apart(F.col("spans")).alias("removed"))
 
 
 def without(text: Column, removed: Column) -> Column:
@@ -101,5 +246,5 @@ def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
         "doc_id", "n_units", F.size("removed").cast("bigint").alias("n_removed"),
         F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, x: s + x["stop"] - x["start"]).alias("chars_removed"),
         F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",").alias("removed"),
-        F.sort_array(F.array_distinct(F.transform("removed", lambda s: s["source"]))).alias("source_ids"),
+        F.sort_array(F.array_distinct(F.flatten(F.transform("removed", lambda s: s["sources"])))).alias("source_ids"),
     )
