@@ -40,6 +40,15 @@ def test_checksums_and_context(spark):
     assert r.spans == "iban:8:35,ssn:74:85"
 
 
+def test_lists_and_words_after(spark):
+    texts = ["SSNs: 123-45-6789, 123-45-6780, 223-45-6781", "phones " + ", ".join(f"555-123-45{i}" for i in range(10, 30)) + " and 555-123-4567", "123-45-6789 (SSN)", "123-45-6789, 123-45-6780 and " + "x" * 50 + " ssn"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: len([s for s in r.spans.split(",") if s]) for r in pii.personal_data(docs).collect()}
+    assert got == {0: 3, 1: 21, 2: 1, 3: 0}
+    cut = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert cut[0] == "SSNs: <SSN>, <SSN>, <SSN>" and cut[1].count("<LOCALPHONE>") == 21 and cut[2] == "<SSN> (SSN)" and cut[3] == texts[3]
+
+
 def test_redaction_keeps_columns_and_order(hard, spark):
     out = pii.redact(hard)
     assert out.columns == hard.columns

@@ -1,10 +1,10 @@
 r"""Personal data (operator 1), in DataFrame expressions only.
 
-Patterns propose spans, checksums confirm them (Luhn for cards, mod 97 for bank accounts), and words just before a span
-raise its score. The base kinds email, ip, card and phone are kept whatever their score; the others (iban, ssn, localphone)
+Patterns propose spans, checksums confirm them (Luhn for cards, mod 97 for bank accounts), and words just before or
+after a span raise its score. A word before the first of a list of spans (apart by separators or "and") counts for all of them. The base kinds email, ip, card and phone are kept whatever their score; the others (iban, ssn, localphone)
 need a score of THRESHOLD. Offsets are code points, end exclusive.
 
-A text is split at the matches of a pattern: the pieces give the offsets, and the piece before a match holds its context.
+A text is split at the matches of a pattern: the pieces give the offsets, and the pieces around a match hold its context.
 Patterns are written so that they cannot backtrack: `\G` or a look-behind lets a run of characters be tried at its
 start only, which finds the same leftmost matches, and possessive groups take no stack.
 
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from veritab.llm.common import fresh, named, sha
 
 THRESHOLD = 0.6
-CONTEXT = 40  # characters before a span that are searched for context words
+CONTEXT = 40  # characters before and after a span that are searched for context words
+LISTED = r"(?i)^(?:[\s,;/|&]|(?<![a-z])and(?![a-z]))*$"  # what parts the spans of a list
 BLOCK = 64  # matches whose offsets are summed at once
 
 
@@ -86,17 +87,35 @@ BASE = tuple(k.name for k in KINDS if k.base)
 
 
 def _cut(text: Column, kind: Kind) -> Column:
-    """Struct of the pieces around the matches of a pattern, and the matches."""
+    """Struct of the pieces around the matches of a pattern, the matches, and whether a context word is near each."""
     pattern = F.lit(kind.pattern)
     gaps = F.split(text, kind.pattern, -1)
-    return F.transform(F.array(gaps), lambda g: F.struct(
+    parts = F.transform(F.array(gaps), lambda g: F.struct(
         g.alias("gaps"), F.when(F.size(g) > 1, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>")).alias("hits"),
-    ))[0]
+    ))
+    return F.transform(parts, lambda c: c.withField("near", _contexts(c, kind)))[0]
 
 
-def _context(before: Column, kind: Kind) -> Column:
-    """Whether the end of the piece before a match holds a context word."""
-    return F.right(before, F.lit(CONTEXT)).rlike(rf"(?i)(?<![a-z])(?:{kind.words})")
+def _word(window: Column, kind: Kind) -> Column:
+    """Whether a window holds a context word; marks of redacted spans are none."""
+    return F.regexp_replace(window, "<[A-Z]+>", "").rlike(rf"(?i)(?<![a-z])(?:{kind.words})")
+
+
+def _contexts(cut: Column, kind: Kind) -> Column:
+    """Per match, whether a context word is near: in the piece before it or before its list, or just after it."""
+    gaps, hits = cut["gaps"], cut["hits"]
+
+    def after(i: Column) -> Column:
+        # the next pieces and matches, which are longer than the window together unless the text ends
+        return F.left(F.concat(*[F.coalesce(x, F.lit("")) for k in range(1, 6) for x in (F.get(gaps, i + k), F.get(hits, i + k))]), F.lit(CONTEXT))
+
+    def step(marks: Column, i: Column) -> Column:
+        gap = F.get(gaps, i)
+        return F.concat(marks, F.when(_word(F.right(gap, F.lit(CONTEXT)), kind), "1").when(gap.rlike(LISTED), F.right(marks, F.lit(1))).otherwise("0"))
+
+    at = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
+    marks = F.split(F.aggregate(at, F.lit("0"), step), "")
+    return F.transform(F.array(marks), lambda m: F.transform(at, lambda i: (F.get(m, i + 1) == "1") | _word(after(i), kind)))[0]
 
 
 def _spans(cut: Column, kind: Kind) -> Column:
@@ -119,7 +138,7 @@ def _spans(cut: Column, kind: Kind) -> Column:
         block = F.floor(i / BLOCK).cast("int")
         start = F.get(firsts, block) + F.aggregate(F.slice(lens, block * BLOCK + 1, i % BLOCK), F.lit(0), lambda s, x: s + x) + F.length(F.get(gaps, i))
         m = F.get(hits, i)
-        near = _context(F.get(gaps, i), kind)
+        near = F.get(cut["near"], i)
         score = F.lit(kind.score) + F.when(near, F.lit((1 - kind.score) * 0.6)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), score.alias("score"), kind.valid(m).alias("ok"))
 
@@ -163,7 +182,7 @@ def _marked(cut: Column, kind: Kind) -> Column:
     def mark(m: Column, i: Column) -> Column:
         ok = kind.valid(m)
         if not kind.base and kind.score < THRESHOLD:
-            ok = ok & _context(F.get(gaps, i), kind)
+            ok = ok & F.get(cut["near"], i)
         return F.concat(F.get(gaps, i), F.when(ok, F.lit(f"<{kind.name.upper()}>")).otherwise(m))
 
     return F.concat(F.array_join(F.transform(hits, mark), ""), F.element_at(gaps, -1))
