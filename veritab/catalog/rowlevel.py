@@ -171,4 +171,4 @@ def qi_label(spark, sf):
 
 @query("k_anon_cluster")
 def k_anon_cluster(spark, sf):
-    return privacy.k_cluster({"reference": t.ref(spark, sf), "synthetic": t.syn(spark, sf)}, t.QI, t.ROLES)
+    return privacy.k_cluster(datasets(spark, sf), t.QI, t.ROLES)
