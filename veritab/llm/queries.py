@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import bpe, decontaminate, nearset, pii, pitmanyor, quotes, severity, topk, units, urlfilter
+from veritab.llm import bpe, decontaminate, manifest, nearset, pii, pitmanyor, quotes, severity, topk, units, urlfilter
 from veritab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,55 @@ def op9_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.formatted(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.report(table(spark, sf_dir, "documents"))
+
+
+def _field(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# the lowest bit of the CRC-32 of a decimal number, bit by bit
+ODD = """(xor(list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c:
+       list_transform(range(8), lambda i: (ord(c) >> i) & 1))), lambda s, b: CASE WHEN (s & 1) <> b THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), 4294967295) & 1)"""
+ORACLE["op13_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, leaf, claim, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT *, {_leaf('text')} AS leaf, CASE WHEN {ODD} = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS claim FROM documents)),
+low AS (
+  SELECT source, 0 AS lvl, pos, n, leaf AS h FROM d
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+top AS (
+  SELECT 0 AS lvl, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, h, source FROM low WHERE n = 1
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)), NULL FROM top WHERE n > 1 GROUP BY lvl, pos // 3, n),
+beside AS (
+  SELECT a.source, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM low a JOIN low b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.source, a.lvl, a.pos),
+above AS (
+  SELECT a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM top a JOIN top b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.lvl, a.pos),
+climb AS (
+  SELECT doc_id, source, leaf, pos AS place, 0 AS lvl, pos, claim AS h, '' AS proof FROM d
+  UNION ALL
+  SELECT c.doc_id, c.source, c.leaf, c.place, c.lvl + 1, c.pos // 3, sha256(b.before || c.h || b.after), c.proof || b.before || b.after
+  FROM climb c JOIN beside b ON c.source IS NOT DISTINCT FROM b.source AND c.lvl = b.lvl AND c.pos = b.pos),
+subs AS (SELECT * FROM climb QUALIFY row_number() OVER (PARTITION BY source, place ORDER BY lvl DESC) = 1),
+rise AS (
+  SELECT s.doc_id, s.source, s.leaf, s.place, t.h AS subroot, 0 AS lvl, t.pos, s.h, s.proof FROM subs s JOIN top t ON t.lvl = 0 AND t.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT c.doc_id, c.source, c.leaf, c.place, c.subroot, c.lvl + 1, c.pos // 3, sha256(b.before || c.h || b.after), c.proof || b.before || b.after
+  FROM rise c JOIN above b ON c.lvl = b.lvl AND c.pos = b.pos),
+ends AS (SELECT * FROM rise QUALIFY row_number() OVER (PARTITION BY source, place ORDER BY lvl DESC) = 1)
+SELECT doc_id, leaf, subroot, r.root, sha256(proof) AS proof_sha256, h AS folded_root, h = r.root AS verified
+FROM ends, (SELECT h AS root FROM top WHERE n = 1) r
+"""
