@@ -108,6 +108,25 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"))
 
 
+# bytes as two hexadecimal digits each; a run of removed bytes is an island of covered places
+ORACLE["op11_repeats"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS m FROM (SELECT r, h, unnest(range(strlen(h) // 2 - 399)) AS i FROM d)),
+hit AS (SELECT r, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+islands AS (
+  SELECT r, min(i) AS a, max(i) + 400 AS z FROM (
+    SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM hit))
+  GROUP BY r, k),
+gaps AS (
+  SELECT r, z, lead(a) OVER (PARTITION BY r ORDER BY a) AS next_a FROM islands
+  UNION ALL SELECT r, 0, min(a) FROM islands GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, CAST(2 * z + 1 AS BIGINT), CAST(2 * (coalesce(next_a, strlen(h) // 2) - z) AS BIGINT)), '' ORDER BY z) AS h FROM gaps JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM islands GROUP BY r)
+SELECT doc_id, strlen(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 @query
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
