@@ -72,12 +72,15 @@ def test_repeats_at_full_length(spark):
 def test_repeats_stretches_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(repeats, "STARTS", 64)
     r = random.Random(3)
-    rows = [(i, "".join(r.choice("ab ") for _ in range(700))) for i in range(3)]
-    data = [t.encode() for _, t in rows]
-    # every start belongs to one run, also where a stretch ends
-    for t in data:
-        found = sorted((a, z) for _, a, z in repeats.runs(t, 12, 6))
-        assert [x for a, z in found for x in range(a, z + 1)] == list(range(len(t) - 11))
+    texts = ["".join(r.choice("ab ") for _ in range(n)).encode() for n in (700, 11, 12, 80, 300)]
+    # every start belongs to one run, also where a stretch or a text ends
+    starts: dict = {}
+    for group in repeats.stretches(texts, 12):
+        of, _, at, first, last, _, _ = repeats.runs(group, 12, 6)
+        for k, p, a, z in zip(of.tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True):
+            assert z <= p <= a + 6
+            starts.setdefault(group[k][0], []).extend(group[k][1] + x for x in range(a, z + 1))
+    assert starts == {i: list(range(len(t) - 11)) for i, t in enumerate(texts) if len(t) > 11}
 
 
 def test_repeats_without_rows(spark):

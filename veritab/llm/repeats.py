@@ -14,7 +14,7 @@ from the middle of a window outwards, so that windows that start beside each oth
 
 Digits are compared by 128-bit digests. Passes count with map-side combining, so a digit with a third of all rows is a few rows per task;
 joins back to the runs split hot digits. A text is identified by its digest, copies of it give the same runs. Inside a text, runs that
-occur again are resolved at once, so that a text of one repeated line stays small. Texts are read in stretches of 2^20 window starts.
+occur again are resolved at once, so that a text of one repeated line stays small. Texts are read in stretches of `STARTS` window starts.
 
 Null texts count as empty; texts below `LENGTH` bytes have no window and lose nothing. Repeated rows are copies like others: both lose
 their windows. doc_id may be null or repeated. Further columns of the table, whatever their names, take no part; an empty table gives no
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ from veritab.llm.common import bounded_batches, named
 
 LENGTH = 400
 GRAM = 200
-STARTS = 1 << 20
+STARTS = 1 << 19
 RUNS = "k binary, doc bigint, gram bigint, high bigint, low bigint, at int, lo int, hi int, n int"
 ITEMS = "id bigint, k binary, at int, open boolean, lo int, hi int, piece binary, stretches array<struct<b:bigint,h:bigint,l:bigint,lo:int,hi:int>>"
 WINDOWS = "w bigint, v bigint, id bigint, at int, open boolean"
@@ -50,19 +51,27 @@ def _long(digest: bytes) -> int:
     return int.from_bytes(digest, "little", signed=True)
 
 
-def gram_keys(data: np.ndarray, gram: int) -> np.ndarray:
-    """A key per gram: 40 bits of its hash, then its place, so that the least key is the leftmost of the lowest hashes."""
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse."""
+    back = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x)]), dtype=np.uint64) for x in (MULTIPLIER, back))
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """64-bit hash of each gram, from prefix sums of a polynomial."""
     n = len(data)
+    up, down = _powers(1 << (n - 1).bit_length())
+    letter = np.arange(1, 257, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        back = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, MULTIPLIER)]), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - gram, back)]), dtype=np.uint64)
-        letter = (np.arange(1, 257, dtype=np.uint64) * MULTIPLIER) ^ (np.arange(1, 257, dtype=np.uint64) << np.uint64(29))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(letter[data] * up, dtype=np.uint64)])
-        keys = (sums[gram:] - sums[:-gram]) * down
+        letter = (letter * MULTIPLIER) ^ (letter << np.uint64(29))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(letter[data] * up[:n], out=sums[1:])
+        keys = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
         keys ^= keys >> np.uint64(31)
         keys *= MULTIPLIER
-    return (keys & ~LOW) | np.arange(len(keys), dtype=np.uint64)
+    return keys
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -76,30 +85,69 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def runs(text: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int]]:
-    """(place of the lowest gram, first and last start) of the runs of windows of a text."""
-    for base in range(0, len(text) - length + 1, STARTS):
-        data = np.frombuffer(text, np.uint8)[base : base + STARTS + length - 1]
-        at = (sliding_min(gram_keys(data, gram), length - gram + 1) & LOW).astype(np.int64)
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        last = np.append(first[1:], len(at)) - 1
-        yield from zip((at[first] + base).tolist(), (first + base).tolist(), (last + base).tolist(), strict=True)
-
-
-def _found(text: bytes, length: int, gram: int) -> Iterator[tuple]:
-    """gram, high, low, at, lo, hi, n of the distinct runs of a text; with n = 0, a span at..hi that repeats inside it."""
-    seen: dict[tuple, list] = {}
-    for at, a, z in runs(text, length, gram):
-        whole = xxhash.xxh3_128_digest(text[a : z + length])
-        seen.setdefault((whole, at - z, at - a), []).append(at)
-    spans: list[tuple[int, int]] = []
-    for (whole, lo, hi), places in seen.items():
-        at = places[0]
-        yield _long(xxhash.xxh3_64_digest(text[at : at + gram])), _long(whole[:8]), _long(whole[8:]), at, lo, hi, len(places)
-        if len(places) > 1:
-            spans += [(p - hi, p - lo + length) for p in places]
-    for a, z in joined(spans):
-        yield 0, 0, 0, a, 0, z, 0
+def stretches(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, offset, bytes) of stretches of at most STARTS window starts, in groups of about STARTS bytes."""
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        for base in range(0, len(text) - length + 1, STARTS):
+            piece = text[base : base + STARTS + length - 1] if len(text) > STARTS else text
+            group.append((i, base, piece))
+            size += len(piece)
+            if size >= STARTS:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def runs(group: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Per run of windows of some stretches: stretch, hash and place of its lowest gram, first and last start, digests of its bytes.
+
+    The stretches are read as one string; windows that would cross from one into the next do not count.
+    """
+    whole = b"".join(p for _, _, p in group)
+    sizes = np.array([len(p) for _, _, p in group])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    final = begin + sizes - length  # the last start of each stretch
+    hashes = gram_hashes(np.frombuffer(whole, np.uint8), gram)
+    # 40 bits of the hash, then the place: the least is the leftmost of the lowest hashes
+    keys = (hashes & ~LOW) | np.arange(len(hashes), dtype=np.uint64)
+    at = (sliding_min(keys, length - gram + 1) & LOW).astype(np.int64)
+    edge = np.zeros(len(at) + 1, np.int32)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, final + 1, -1)
+    fresh = np.append(True, at[1:] != at[:-1])
+    fresh[begin] = True
+    first = np.flatnonzero(fresh & (np.cumsum(edge[:-1]) > 0))
+    of = np.searchsorted(begin, first, "right") - 1
+    last = np.minimum(np.append(first[1:], len(at)) - 1, final[of])
+    view = memoryview(whole)
+    digest = b"".join([xxhash.xxh3_128_digest(view[a:z]) for a, z in zip(first.tolist(), (last + length).tolist(), strict=True)])
+    both = np.frombuffer(digest, np.int64).reshape(-1, 2)
+    return of, hashes[at[first]].view(np.int64), at[first] - begin[of], first - begin[of], last - begin[of], both[:, 0], both[:, 1]
+
+
+def _found(texts: list[bytes], copies: np.ndarray, length: int, gram: int) -> Iterator[pd.DataFrame]:
+    """text, gram, high, low, at, lo, hi, n of the distinct runs of some texts; with n = 0, a span at..hi that repeats inside its text."""
+    for group in stretches(texts, length):
+        of, hashes, at, first, last, high, low = runs(group, length, gram)
+        text = np.array([i for i, _, _ in group])[of]
+        base = np.array([b for _, b, _ in group])[of]
+        rows = np.stack([text, hashes, high, low, at + base, at - last, at - first])
+        order = np.lexsort(rows[[4, 6, 5, 3, 2, 0]])
+        rows = rows[:, order]
+        differs = (rows[[0, 2, 3, 5, 6], 1:] != rows[[0, 2, 3, 5, 6], :-1]).any(0)
+        head = np.flatnonzero(np.append(True, differs))
+        n = np.diff(np.append(head, rows.shape[1]))
+        made = [rows[:, head], n * copies[rows[0, head]]]
+        again = np.repeat(n > 1, n)
+        if again.any():
+            spans: dict[int, list[tuple[int, int]]] = {}
+            for i, _, _, _, p, lo, hi in rows[:, again].T.tolist():
+                spans.setdefault(i, []).append((p - hi, p - lo + length))
+            flat = [(i, 0, 0, 0, a, 0, z) for i, s in spans.items() for a, z in joined(s)]
+            made = [np.concatenate([made[0], np.array(flat, np.int64).T], 1), np.append(made[1], np.zeros(len(flat), np.int64))]
+        yield pd.DataFrame(np.append(made[0], made[1][None], 0).T, columns=["text", "gram", "high", "low", "at", "lo", "hi", "n"])
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -114,20 +162,17 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan(length: int, gram: int) -> Callable:
-    names = [c.split()[0] for c in RUNS.split(", ")]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            once: set[bytes] = set()
-            for k, doc, text in zip(batch["k"], batch["doc"], batch["text"], strict=True):
-                if len(text) < length:
-                    continue
-                copy = k in once  # counts once more; its places are those of the first
-                once.add(k)
-                found = [(k, None if pd.isna(doc) else int(doc), *f) for f in _found(text, length, gram)]
-                if copy:
-                    found = [f for f in found if f[-1]]
-                yield pd.DataFrame(found, columns=names).astype({"doc": "Int64"})
+            # copies of a text are read once and count as often as they are there
+            count = batch.groupby("k", sort=False)["doc"].transform("size").to_numpy()
+            once = ~batch["k"].duplicated().to_numpy() & np.array([len(t) >= length for t in batch["text"]], bool)
+            keys, docs = batch["k"].to_numpy()[once], batch["doc"].to_numpy()[once]
+            for found in _found(batch["text"][once].tolist(), count[once], length, gram):
+                of = found.pop("text").to_numpy()
+                found.insert(0, "doc", docs[of])
+                found.insert(0, "k", keys[of])
+                yield found
 
     return run
 
@@ -137,8 +182,8 @@ def _cut(length: int, gram: int) -> Callable:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for k, text, items in zip(batch["k"], batch["text"], batch["items"], strict=True):
-                out = []
                 for i in items:
                     at, lo, hi = int(i["at"]), int(i["lo"]), int(i["hi"])
                     stretches = []
@@ -149,7 +194,7 @@ def _cut(length: int, gram: int) -> Callable:
                         digit = xxhash.xxh3_64_digest(p.to_bytes(4, "little") + core)
                         stretches.append({"b": _long(digit), "h": _long(whole[:8]), "l": _long(whole[8:]), "lo": a, "hi": z})
                     out.append((int(i["id"]), k, at, bool(i["open"]), lo, hi, text[at - hi : at - lo + length], stretches))
-                yield pd.DataFrame(out, columns=["id", "k", "at", "open", "lo", "hi", "piece", "stretches"])
+            yield pd.DataFrame(out, columns=["id", "k", "at", "open", "lo", "hi", "piece", "stretches"])
 
     return run
 
@@ -192,7 +237,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     open_runs = lookup_join(kinds.withColumnRenamed("count", "members"), mixed, ["gram"], how="inner", weight="count")
     items = stored(open_runs.select(F.monotonically_increasing_id().alias("id"), "place.*", "lo", "hi", (F.col("members") == 1).alias("open")), "items")
     asked = items.groupBy("k", "doc").agg(F.collect_list(F.struct("id", "at", "lo", "hi", "open")).alias("items"))  # a text's own runs
-    texts = docs.join(asked, (docs["k"] == asked["k"]) & docs["doc"].eqNullSafe(asked["doc"])).select(docs["k"], "text", "items")
+    texts = docs.join(asked, ["k", "doc"]).select("k", "text", "items")
     cut = stored(texts.mapInPandas(_cut(length, gram), ITEMS), "stretches")
     # repeated rows give an item more than once, so places are compared, not counted
     stretch = cut.select("id", "k", "at", "open", F.inline("stretches"))
@@ -218,15 +263,16 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, and k, doc, text as `repeated` takes them."""
     text = F.coalesce(named(docs, "text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.unhex(F.md5(text)).alias("k"), named(docs, "doc_id").cast("bigint").alias("doc"), text.alias("text"))
+    doc = named(docs, "doc_id").cast("bigint")
+    return docs.select(doc.alias("doc_id"), F.unhex(F.md5(text)).alias("k"), F.coalesce(doc, F.lit(0)).alias("doc"), text.alias("text"))
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, removed (array of start, stop in bytes), kept (bytes): one row per row of docs."""
+def _with_runs(docs: DataFrame, length: int, gram: int, kept: bool) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = _rows(docs)
-    joined_rows = lookup_join(rows, repeated(rows, length, gram), ["k"], how="left")
+    found = lookup_join(rows.drop("doc"), repeated(rows.drop("doc_id"), length, gram), ["k"], how="left")
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in batches:
@@ -234,17 +280,22 @@ def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             for text, s in zip(texts, spans, strict=True):
                 gone = joined([(int(x["start"]), int(x["stop"])) for x in s]) if s is not None else []
                 edges = [0, *(x for p in gone for x in p), len(text)]
-                kept = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if gone else text
-                out.append((len(text), [{"start": a, "stop": z} for a, z in gone], kept, hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_bytes", "removed", "kept", "kept_sha256"])
+                left = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if gone else text
+                out.append((len(text), [{"start": a, "stop": z} for a, z in gone], hashlib.sha256(left).hexdigest(), left if kept else None))
+            yield pd.DataFrame(out, columns=["n_bytes", "removed", "kept_sha256", "kept"])
 
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    result = F.pandas_udf(run, "n_bytes bigint, removed array<struct<start:int,stop:int>>, kept binary, kept_sha256 string")
-    return joined_rows.select(F.col("doc").alias("doc_id"), result("text", "spans").alias("r")).select("doc_id", "r.*")
+    result = F.pandas_udf(run, "n_bytes bigint, removed array<struct<start:int,stop:int>>, kept_sha256 string, kept binary")
+    return found.select("doc_id", result("text", "spans").alias("r")).select("doc_id", "r.*")
+
+
+def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_bytes, removed (array of start, stop in bytes), kept_sha256, kept (bytes): one row per row of docs."""
+    return _with_runs(docs, length, gram, True)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    c = cleaned(docs)
+    c = _with_runs(docs, LENGTH, GRAM, False)
     removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, x: s + x["stop"] - x["start"])
     return c.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
