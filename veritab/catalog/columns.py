@@ -45,9 +45,20 @@ def ks(spark, sf):
     return scores(marginal.ks_complement(*sides(spark, sf), t.ROLES))
 
 
-@query("wasserstein_1d", f"WITH {CDF} SELECT column_name, round(sum(CASE WHEN nxt IS NULL THEN 0 ELSE abs(fr - fs) * (nxt - value) END), 4) AS score FROM g WHERE column_name <> 'odate' GROUP BY 1", VIEWS)
+AREA = "sum(CASE WHEN nxt IS NULL THEN 0 ELSE abs(fr - fs) * (nxt - value) END)"
+
+
+@query(
+    "wasserstein_1d",
+    f"""WITH {CDF}, w AS (SELECT column_name, max(value) - min(value) AS width FROM f WHERE r > 0 GROUP BY 1)
+  SELECT column_name, round({AREA} / CASE WHEN column_name = 'odate' THEN 1000000 ELSE 1 END, 4) AS score, round({AREA} / any_value(width), 6) AS scaled FROM g JOIN w USING (column_name) GROUP BY 1""",
+    VIEWS,
+)
 def w1(spark, sf):
-    return scores(marginal.wasserstein_1d(*sides(spark, sf), t.ROLES, t.NUMS), 4)
+    """Datetimes in seconds."""
+    w = marginal.wasserstein_1d(*sides(spark, sf), t.ROLES)
+    unit = F.when(F.col("column_name") == "odate", 1e6).otherwise(1.0)
+    return w.select("column_name", F.round(F.col("score") / unit, 4).alias("score"), F.round("scaled", 6).alias("scaled"))
 
 
 @query("tv_complement", TV, VIEWS)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.distributed import running_totals
@@ -61,20 +61,23 @@ def ks_complement(real: DataFrame, syn: DataFrame, roles: Roles, columns: Sequen
 
 
 def wasserstein_1d(real: DataFrame, syn: DataFrame, roles: Roles, columns: Sequence[str] | None = None) -> DataFrame:
-    """Area between the two cumulative distributions."""
+    """Area between the two cumulative distributions: `score` in the unit of the column (datetimes in microseconds), `scaled` as a
+    share of the real table's range, which may be averaged over columns (null where the real values do not vary)."""
     cols = _pick(roles, NUMERIC_LIKE, columns)
     if not cols:
-        return _empty(real)
+        return _empty(real).withColumn("scaled", F.col("score"))
     run = running_totals(number_frequencies(real, syn, cols, roles), ["column_name"], ["value"], ["r", "s"], prev="value")
-    return _area(run, ["column_name"])
+    own = F.when(F.col("r") > 0, F.col("value"))
+    return _area(run, ["column_name"], F.max(own) - F.min(own))
 
 
-def _area(run: DataFrame, by: Sequence[str]) -> DataFrame:
+def _area(run: DataFrame, by: Sequence[str], width: Column) -> DataFrame:
     before = F.abs(
         F.try_divide(F.col("r_run") - F.col("r"), F.col("r_all")) - F.try_divide(F.col("s_run") - F.col("s"), F.col("s_all"))
     )
     step = F.coalesce(F.col("value") - F.col("value_prev"), F.lit(0.0))
-    return run.groupBy(*by).agg(F.sum(before * step).alias("score"))
+    area = F.sum(before * step)
+    return run.groupBy(*by).agg(area.alias("score"), F.try_divide(area, width).alias("scaled"))
 
 
 def tv_complement(real: DataFrame, syn: DataFrame, roles: Roles, columns: Sequence[str] | None = None) -> DataFrame:

@@ -6,7 +6,10 @@ Scores are long: (metric, column_1, column_2, score, status, detail).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
+from threading import Lock
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from veritab.operators import detect, marginal, pairs, privacy, rows, scaling, s
 from veritab.operators.encode import TableEncoderModel, encoded_columns
 from veritab.sources.roles import Roles
 
+SIDE_BY_SIDE = 4
 SCHEMA = "metric string, column_1 string, column_2 string, score double, status string, detail map<string,double>"
 
 
@@ -32,6 +36,15 @@ class Inputs:
     population: DataFrame | None = None
     training: DataFrame | None = None
     params: dict[str, dict] = field(default_factory=dict)
+    lock: Lock = field(default_factory=Lock)
+    shared: dict[str, DataFrame] = field(default_factory=dict)
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A result that several metrics read; metrics may run side by side."""
+        with self.lock:
+            if name not in self.shared:
+                self.shared[name] = checkpointed(build())
+            return self.shared[name]
 
     def vectors(self) -> tuple[DataFrame, DataFrame]:
         if self.encoder is None:
@@ -87,6 +100,15 @@ def _quality(i: Inputs, p: dict) -> DataFrame:
     return _named(q, "property", "score").withColumn("column_1", F.when(F.col("column_1") != "overall", F.col("column_1")))
 
 
+def _alpha(i: Inputs) -> DataFrame:
+    return i.once("alpha_precision", lambda: spatial.alpha_precision(*i.vectors()))
+
+
+def _anonymity(i: Inputs, p: dict) -> DataFrame:
+    qi = p.get("qi_columns") or i.roles.quasi_identifiers
+    return i.once(f"k:{','.join(qi)}", lambda: privacy.k_anonymity(i.datasets(), qi))
+
+
 # name -> (form it is computed on, builder)
 METRICS: dict[str, tuple[str, Callable[[Inputs, dict], DataFrame]]] = {
     "table_structure": ("decoded", lambda i, p: _single(structure.structure_score(structure.table_structure(i.reference, i.synthetic), True), "score")),
@@ -96,23 +118,24 @@ METRICS: dict[str, tuple[str, Callable[[Inputs, dict], DataFrame]]] = {
     "category_adherence": ("decoded", _per_column(marginal.category_adherence)),
     "ks_complement": ("decoded", _per_column(marginal.ks_complement)),
     "tv_complement": ("decoded", _per_column(marginal.tv_complement)),
-    "wasserstein_1d": ("decoded", _per_column(marginal.wasserstein_1d)),
+    "wasserstein_1d": ("decoded", lambda i, p: _columns(marginal.wasserstein_1d(i.reference, i.synthetic, i.roles, p.get("target_columns")).select(
+        "column_name", F.col("scaled").alias("score")))),
     "jensenshannon_synthcity": ("decoded", lambda i, p: _columns(marginal.jsd_equal_width(i.reference, i.synthetic, i.roles, bins=p.get("n_histogram_bins", 10)))),
     "jensenshannon_syndat": ("decoded", lambda i, p: _columns(marginal.jsd_discrete_aware(i.reference, i.synthetic, i.roles, max_discrete=p.get("n_unique_threshold", 10)))),
     "jensenshannon_nannyml": ("decoded", lambda i, p: _columns(marginal.jsd_adaptive(i.reference, i.synthetic, i.roles).select("column_name", "score"))),
     "sdmetrics_quality": ("decoded", _quality),
     "new_row_synthesis": ("decoded", lambda i, p: _single(rows.new_row_score(
         i.reference, i.synthetic, i.roles, p.get("numerical_match_tolerance", 0.01), p.get("synthetic_sample_size")), "score")),
-    "alpha_precision": ("encoded", lambda i, p: _single(spatial.alpha_precision(*i.vectors()), "delta_precision_alpha")),
-    "authenticity": ("encoded", lambda i, p: _single(spatial.alpha_precision(*i.vectors()), "authenticity")),
+    "alpha_precision": ("encoded", lambda i, p: _single(_alpha(i), "delta_precision_alpha")),
+    "authenticity": ("encoded", lambda i, p: _single(_alpha(i), "authenticity")),
     "prdc_score": ("encoded", lambda i, p: _single(spatial.prdc(*i.vectors(), k=p.get("nearest_k", 5)).withColumn(
         "mean", (F.col("precision") + F.col("recall") + F.col("coverage")) / 3), "mean")),
     "wasserstein_distance": ("encoded", lambda i, p: _single(
         spatial.sinkhorn(*i.vectors()) if p.get("exact") else spatial.sliced_wasserstein(*i.vectors()), "sinkhorn" if p.get("exact") else "sliced_wasserstein")),
     "maximum_mean_discrepancy": ("encoded", lambda i, p: _single(
         (spatial.mmd if p.get("exact", False) else spatial.mmd_rff)(*i.vectors(), gamma=p.get("gamma")), "mmd2")),
-    "k_anonymization": ("decoded", lambda i, p: _named(privacy.k_anonymity(i.datasets(), p.get("qi_columns") or i.roles.quasi_identifiers), "dataset", "k")),
-    "k_ratios": ("decoded", lambda i, p: _named(privacy.k_ratios(privacy.k_anonymity(i.datasets(), p.get("qi_columns") or i.roles.quasi_identifiers)).withColumn(
+    "k_anonymization": ("decoded", lambda i, p: _named(_anonymity(i, p), "dataset", "k")),
+    "k_ratios": ("decoded", lambda i, p: _named(privacy.k_ratios(_anonymity(i, p)).withColumn(
         "pair", F.concat_ws("/", "numerator", "denominator")), "pair", "ratio")),
     "k_cluster": ("decoded", lambda i, p: _named(privacy.k_cluster(i.datasets(), p.get("qi_columns") or i.roles.quasi_identifiers, i.roles), "dataset", "k")),
     **{m: ("decoded", lambda i, p, m=m: _single(detect.detection(i.reference, i.synthetic, i.roles, m, **p).agg(
@@ -121,17 +144,19 @@ METRICS: dict[str, tuple[str, Callable[[Inputs, dict], DataFrame]]] = {
 }
 
 
-def score_card(inputs: Inputs, metrics: Sequence[str]) -> DataFrame:
-    """Scores of all named metrics. A failing metric is one row with its error; an unknown name too."""
-    spark = inputs.reference.sparkSession
-    out = None
-    for name in metrics:
-        try:
-            if name not in METRICS:
-                raise ValueError(f"unknown metric: {name}")
-            got = checkpointed(METRICS[name][1](inputs, inputs.params.get(name, {})))
-            part = got.select(F.lit(name).alias("metric"), "column_1", "column_2", "score", F.lit("success").alias("status"), "detail")
-        except Exception as e:  # isolation per metric is the contract
-            part = spark.createDataFrame([(name, None, None, None, f"error: {str(e)[:300]}", None)], SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out
+def score_metric(inputs: Inputs, name: str) -> tuple[DataFrame, bool]:
+    """Scores of one metric and whether it succeeded; a failing one is one row with its error, an unknown name too."""
+    try:
+        if name not in METRICS:
+            raise ValueError(f"unknown metric: {name}")
+        got = checkpointed(METRICS[name][1](inputs, inputs.params.get(name, {})))
+        return got.select(F.lit(name).alias("metric"), "column_1", "column_2", "score", F.lit("success").alias("status"), "detail"), True
+    except Exception as e:  # isolation per metric is the contract
+        return inputs.reference.sparkSession.createDataFrame([(name, None, None, None, f"error: {str(e)[:300]}", None)], SCHEMA), False
+
+
+def score_card(inputs: Inputs, metrics: Sequence[str], side_by_side: int = SIDE_BY_SIDE) -> DataFrame:
+    """Scores of all named metrics, several of them in work at a time."""
+    with ThreadPoolExecutor(side_by_side) as pool:
+        parts = list(pool.map(lambda name: score_metric(inputs, name)[0], metrics))
+    return reduce(DataFrame.unionByName, parts)
