@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritab.functions.distributed import exact_quantiles, lookup_join, running_totals
-from veritab.operators import pairs, rows, spatial
-from veritab.operators.repair import hamming_neighbours, combination_key
+from veritab.operators import pairs, repair, rows, spatial
+from veritab.operators.repair import combination_key, hamming_neighbours
 from veritab.operators.scoring import auroc, best_threshold
 from veritab.sources.roles import CATEGORICAL, ID, NUMERICAL, Column, Roles
 
@@ -214,3 +214,110 @@ def test_null_keys_are_spread(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_neighbours_over_pivots(clouds):
+    x, y, dx, dy = clouds
+    d, own = dist(x, y), dist(x, x)
+    np.fill_diagonal(own, np.inf)
+    for size in (8, 64, 4096):
+        got = {(r.id, r.pos): (r.other, r.d) for r in spatial.nearest(dx, dy, 3, False, size).collect()}
+        for i in range(len(x)):
+            # equal distances go to the smaller id
+            want = sorted(zip(np.round(d[i], 12), range(len(y)), strict=True))[:3]
+            assert [got[i, p + 1][0] for p in range(3)] == [j for _, j in want]
+            assert np.allclose([got[i, p + 1][1] for p in range(3)], [v for v, _ in want], atol=1e-9)
+        radius = {r.id: r.radius for r in spatial.knn_radius(dx, 4, size).collect()}
+        assert np.allclose([radius[i] for i in range(len(x))], np.sort(own, 1)[:, 3], atol=1e-9)
+
+
+def test_few_points_than_neighbours(spark):
+    pts = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "id bigint, v array<double>")
+    got = sorted((r.id, r.other) for r in spatial.nearest(pts, pts, 5, True).collect())
+    assert got == [(a, b) for a in range(3) for b in range(3) if a != b]
+
+
+def test_pivots_skip_far_cells(spark):
+    r = np.random.default_rng(11)
+    centres = r.normal(0, 40, size=(20, 6))
+    v = np.concatenate([c + r.normal(size=(40, 6)) for c in centres])
+    pts = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(v)], "id bigint, v array<double>")
+    seen = spatial.cells_visited(pts, 5, 40).first()
+    assert seen.cells > 20 and seen.visited_pairs < seen.cell_pairs / 2 and seen.row_share < 0.5
+
+
+def test_hamming_neighbours_in_nine_columns(spark):
+    r = np.random.default_rng(9)
+    feats = [f"c{i}" for i in range(9)]
+    schema = ", ".join(f"{f} string" for f in feats)
+    # a third of the rows are one combination
+    ref = [[("u" if i % 3 == 0 else str(r.choice(list("uvwx")))) for _ in feats] for i in range(240)]
+    ask = [[str(r.choice(list("uvwxz"))) for _ in feats] for _ in range(6)] + [["z"] * 9]
+    ref_df = spark.createDataFrame([(i, *row, f"v{i}") for i, row in enumerate(ref)], f"rid bigint, {schema}, wanted string")
+    ask_df = spark.createDataFrame([tuple(a) for a in ask], schema).select(combination_key(feats).alias("_q"), *feats)
+    index = repair.combination_index(ref_df, feats, "rid", 4)
+    assert index.count() <= 4 + 160 and index.where(" AND ".join(f"r_{f} = 'u'" for f in feats)).count() == 4
+    got = hamming_neighbours(ask_df, ref_df, feats, "rid", 4, "wanted").join(ask_df, "_q").collect()
+    for a in ask:
+        d = [sum(p != q for p, q in zip(a, row, strict=True)) for row in ref]
+        want = sorted(zip(d, range(len(ref)), strict=True))[:4]
+        mine = sorted((g.differing, g._rid, g.value) for g in got if [g[f] for f in feats] == a)
+        assert mine == [(x, i, f"v{i}") for x, i in want]
+
+
+def test_rank_matrix_shares_patterns(spark):
+    r = np.random.default_rng(4)
+    n = 300
+    gone = r.random(n) < 0.3
+    frame = pd.DataFrame({"a": r.normal(size=n), "b": r.integers(0, 4, n).astype(float), "c": r.normal(size=n), "d": r.normal(size=n), "e": r.normal(size=n), "f": np.nan})
+    frame.loc[gone, ["c", "d"]] = np.nan  # the same rows
+    frame.loc[r.random(n) < 0.2, "e"] = np.nan
+    clean = lambda v: [None if np.isnan(x) else float(x) for x in v]
+    df = spark.createDataFrame([clean(v) for v in frame.to_numpy()], ", ".join(f"{c} double" for c in frame))
+    roles = Roles(tuple(Column(n, NUMERICAL) for n in frame))
+    x = {c: c for c in frame}
+    assert pairs._null_patterns(df, list(frame), x) == {"a": None, "b": None, "c": "c", "d": "c", "e": "e", "f": "f"}
+    half = df.where("b < 2")
+    got = pairs.rank_matrix({"all": df, "half": half}, roles, hot_rows=40).collect()
+    for g in got:
+        own = frame if g.side == "all" else frame[frame.b < 2]
+        both = own[[g.column_1, g.column_2]].dropna().rank()
+        assert g.n == len(both) and g.value == pytest.approx(both.corr().iloc[0, 1])
+    assert len(got) == 2 * 10
+
+
+def test_band_join_cuts_heavy_cells(spark):
+    r = np.random.default_rng(12)
+    # the first two columns are mostly null, the discrete part is the same everywhere
+    def row(i):
+        return (i, "k", None if r.random() < 0.6 else float(r.uniform(1, 3)), None if r.random() < 0.6 else float(r.uniform(1, 3)), float(r.uniform(1, 500)), 7.0)
+
+    real = [row(i) for i in range(600)]
+    syn = [(i, k, a, b, c * float(r.choice([1.0, 1.004, 1.05])), e) for i, k, a, b, c, e in real[:300]]
+    schema = "id bigint, k string, a double, b double, c double, e double"
+    roles = Roles((Column("id", ID), Column("k", CATEGORICAL), *(Column(n, NUMERICAL) for n in "abce")))
+
+    def close(s, v):
+        return (s is None and v is None) or (s is not None and v is not None and abs(v - s) <= abs(s * 0.01))
+
+    want = sum(not any(all(close(s[j], q[j]) for j in range(2, 6)) for q in real) for s in syn)
+    real_df, syn_df = spark.createDataFrame(real, schema), spark.createDataFrame(syn, schema)
+    for banded, heavy in ((2, 100_000), (1, 5), (0, 3), (4, 1), (1, 0)):
+        assert rows.unmatched(real_df, syn_df, roles, 0.01, banded, heavy).agg(F.sum("n")).first()[0] == want
+    cells = real_df.select(*[F.element_at(rows._match_cells(c, 0.01, 0), 1).alias(c) for c in "abce"])
+    assert rows._by_evenness(cells, {c: c for c in "abce"})[0] == "c"
+
+
+def test_wide_one_hot_is_sparse(spark):
+    from veritab.operators.encode import TableEncoder, encoded_columns
+
+    roles = Roles((Column("id", ID), Column("k", CATEGORICAL, encoder="one_hot"), Column("a", NUMERICAL)))
+    df = spark.range(12_000).select("id", F.when(F.col("id") % 997 > 0, F.concat(F.lit("c"), (F.col("id") % 5000).cast("string"))).alias("k"), F.col("id").cast("double").alias("a"))
+    model = TableEncoder(roles).fit(df)
+    assert model.sizes["k"] == 5001
+    enc = model.transform(df)
+    assert dict(enc.dtypes)["k__sparse"] == "vector" and encoded_columns(model, enc) == ["a"]
+    back = model.inverse(enc).select("id", "k")
+    assert back.exceptAll(df.select("id", "k")).count() == 0 and back.count() == 12_000
+    unseen = model.transform(spark.createDataFrame([(1, "other", 1.0)], "id bigint, k string, a double"))
+    assert unseen.first()["k__sparse"].numNonzeros() == 0 and model.inverse(unseen).first().k is None

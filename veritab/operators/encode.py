@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,11 +148,24 @@ class TableEncoderModel:
         return joined.withColumn(name, value).drop("_k", "start", "stop", "_code").select(*df.columns)
 
     def one_hot_values(self, name: str) -> list:
-        if self.sizes[name] > ONE_HOT_LIMIT:
-            raise ValueError(f"{name}: {self.sizes[name]} categories are too many for one-hot columns")
+        """The vocabulary of a column that is expanded into columns."""
         return [r.value for r in self._state(name).orderBy(F.col("value").asc_nulls_last()).select("value").collect()]
 
+    def _sparse(self, name: str) -> bool:
+        return self.sizes[name] > ONE_HOT_LIMIT
+
     def _one_hot(self, df: DataFrame, name: str) -> DataFrame:
+        """One column per category; of a column with more than ONE_HOT_LIMIT of them, one sparse vector over the stored codes."""
+        if self._sparse(name):
+            size = self.sizes[name]
+            state = self._state(name).select(F.col("key").alias("_k"), F.col("code").alias("_code"))
+            keyed = df.withColumn("_k", key_of(F.col(name)))
+            joined = keyed.join(F.broadcast(state), "_k", "left") if size <= BROADCAST_ROWS else lookup_join(keyed, state, ["_k"])
+            # an unseen category is the vector without entries
+            joined = joined.withColumn("_code", F.coalesce("_code", F.lit(size)).cast("double")).drop("_k")
+            learnt = df.sparkSession.range(size - 1, size).select(F.col("id").cast("double").alias("_code"))
+            hot = OneHotEncoder(inputCols=["_code"], outputCols=[f"{name}__sparse"], handleInvalid="keep").fit(learnt)
+            return hot.transform(joined).drop("_code", name)
         flags = {}
         for v in self.one_hot_values(name):
             hit = F.col(name).isNull() if v is None else F.col(name).cast("string").eqNullSafe(F.lit(v))
@@ -203,7 +218,21 @@ class TableEncoderModel:
     def _inverse_interval(self, df: DataFrame, name: str) -> DataFrame:
         return interval_lookup(df.withColumn("_draw", F.col(name)), self._state(name), self.sizes[name], name).select(*df.columns)
 
+    def _inverse_sparse(self, df: DataFrame, name: str) -> DataFrame:
+        """The category of a vector's largest entry; a vector without entries has none."""
+        if f"{name}__sparse" not in df.columns:
+            return df
+        v = F.unwrap_udt(F.col(f"{name}__sparse"))
+        spot = F.array_position(v["values"], F.array_max(v["values"])).cast("int")
+        code = F.when(F.size(v["values"]) > 0, F.when(v["type"] == 0, F.element_at(v["indices"], spot)).otherwise(spot - 1)).cast("bigint")
+        state = self._state(name).select(F.col("code").alias("_code"), F.col("value").alias(name))
+        coded = df.withColumn("_code", code).drop(f"{name}__sparse")
+        joined = coded.join(F.broadcast(state), "_code", "left") if self.sizes[name] <= BROADCAST_ROWS else lookup_join(coded, state, ["_code"])
+        return joined.drop("_code")
+
     def _inverse_one_hot(self, df: DataFrame, name: str) -> DataFrame:
+        if self._sparse(name):
+            return self._inverse_sparse(df, name)
         values = self.one_hot_values(name)
         cols = [f"{name}__{'null' if v is None else v}" for v in values]
         if not set(cols) <= set(df.columns):
@@ -284,7 +313,7 @@ class TableEncoder:
 
 
 def encoded_columns(model: TableEncoderModel, encoded: DataFrame) -> list[str]:
-    """Numeric columns of an encoded table: encoded columns and their one-hot expansions, ids left out."""
+    """Numeric columns of an encoded table: encoded columns and their one-hot expansions, ids and sparse vectors left out."""
     base = set(model.encoders)
     ids = set(model.roles.of("id"))
-    return [c for c in encoded.columns if c not in ids and (c in base or c.split("__")[0] in base)]
+    return [f.name for f in encoded.schema if f.name not in ids and (f.name in base or f.name.split("__")[0] in base) and not isinstance(f.dataType, VectorUDT)]

@@ -71,13 +71,14 @@ def wasserstein_1d(real: DataFrame, syn: DataFrame, roles: Roles, columns: Seque
     return _area(run, ["column_name"], F.max(own) - F.min(own))
 
 
-def _area(run: DataFrame, by: Sequence[str], width: Column) -> DataFrame:
+def _area(run: DataFrame, by: Sequence[str], width: Column | None = None) -> DataFrame:
     before = F.abs(
         F.try_divide(F.col("r_run") - F.col("r"), F.col("r_all")) - F.try_divide(F.col("s_run") - F.col("s"), F.col("s_all"))
     )
     step = F.coalesce(F.col("value") - F.col("value_prev"), F.lit(0.0))
     area = F.sum(before * step)
-    return run.groupBy(*by).agg(area.alias("score"), F.try_divide(area, width).alias("scaled"))
+    scaled = [] if width is None else [F.try_divide(area, width).alias("scaled")]
+    return run.groupBy(*by).agg(area.alias("score"), *scaled)
 
 
 def tv_complement(real: DataFrame, syn: DataFrame, roles: Roles, columns: Sequence[str] | None = None) -> DataFrame:

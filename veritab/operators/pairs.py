@@ -7,6 +7,7 @@ anything is joined, so repeated values cost nothing further down.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -97,52 +98,80 @@ def correlation_ratio(df: DataFrame, roles: Roles, columns: Sequence[str] | None
     return sums.select(*PAIR, eta.cast("double").alias("value"), "n")
 
 
-def spearman(
-    df: DataFrame, roles: Roles, columns: Sequence[str] | None = None, kinds: Sequence[str] = (NUMERICAL,), hot_rows: int = HOT_ROWS
+def rank_matrix(
+    tables: dict[str, DataFrame], roles: Roles, columns: Sequence[str] | None = None, kinds: Sequence[str] = (NUMERICAL,), hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Signed rank correlation with average ranks under pairwise deletion.
+    """(side, column_1, column_2, value, n): signed rank correlations with average ranks under pairwise deletion, all tables in one plan.
 
-    Ranks come from distributed prefix sums over value counts per pair; the correlation is a
-    weighted sum over distinct value pairs.
+    A column is ranked once per pattern of nulls that it meets, not once per partner: partners without nulls, or with nulls in the same
+    rows, share its ranks. Ranks come from prefix sums over counted values and go back to the rows; one aggregation per table then holds
+    the cross products of all pairs.
     """
     cols = roles.of(*kinds, within=columns)
+    some = next(iter(tables.values()))
     pairs = list(combinations(cols, 2))
     if not pairs:
-        return _none(df)
-    number = lambda n: as_number(df, n, roles)
-    cells = _exploded(df, pairs, number, number, drop_nulls=True)
-    cells = checkpointed(cells.groupBy(*PAIR, "v1", "v2").agg(F.count(F.lit(1)).alias("k")))
-    margins = cells.select(*PAIR, F.inline(F.array(
-        F.struct(F.lit(1).alias("side"), F.col("v1").alias("v"), F.col("k").alias("k")),
-        F.struct(F.lit(2).alias("side"), F.col("v2").alias("v"), F.col("k").alias("k")),
-    ))).groupBy(*PAIR, "side", "v").agg(F.sum("k").alias("k"))
-    run = running_totals(margins, [*PAIR, "side"], ["v"], ["k"])
+        return some.sparkSession.createDataFrame([], "side string, " + EMPTY)
+    x = {c: f"x{i}" for i, c in enumerate(cols)}
+    wide = reduce(DataFrame.unionByName, [df.select(F.lit(side).alias("side"), *[as_number(df, c, roles).alias(x[c]) for c in cols]) for side, df in tables.items()])
+    wide = checkpointed(wide).withColumn("_row", F.monotonically_increasing_id())
+    pattern = _null_patterns(wide, cols, x)
+    # (column, pattern it is ranked under): None is its own non-null rows
+    under = {(a, b): None if pattern[b] in (None, pattern[a]) else pattern[b] for p, q in pairs for a, b in ((p, q), (q, p))}
+    tasks = {t: i for i, t in enumerate(sorted({(a, under[a, b]) for a, b in under}, key=str))}
+    at = {(a, b): f"r{tasks[a, under[a, b]]}" for a, b in under}
+    cells = F.inline(F.array(*[
+        F.struct(F.lit(i).alias("task"), (F.col(x[a]) if m is None else F.when(F.col(x[m]).isNotNull(), F.col(x[a]))).alias("v")) for (a, m), i in tasks.items()]))
+    long = wide.select("side", "_row", cells).where(F.col("v").isNotNull())
+    run = running_totals(long.groupBy("side", "task", "v").agg(F.count(F.lit(1)).alias("k")), ["side", "task"], ["v"], ["k"])
     # deviation of the average rank from the mean rank
     dev = (F.col("k_run") - F.col("k")) + (F.col("k") + 1) / 2 - (F.col("k_all") + 1) / 2
-    ranks = run.select(*PAIR, "side", "v", dev.cast("double").alias("d"), F.col("k").alias("_k"))
-    one = ranks.where("side = 1").select(*PAIR, F.col("v").alias("v1"), F.col("d").alias("d1"), "_k")
-    two = ranks.where("side = 2").select(*PAIR, F.col("v").alias("v2"), F.col("d").alias("d2"), "_k")
-    j = lookup_join(cells, one, [*PAIR, "v1"], "inner", hot_rows=hot_rows, weight="_k")
-    j = lookup_join(j, two, [*PAIR, "v2"], "inner", hot_rows=hot_rows, weight="_k")
-    s = j.groupBy(*PAIR).agg(
-        F.sum(F.col("k") * F.col("d1") * F.col("d2")).alias("xy"), F.sum(F.col("k") * F.col("d1") * F.col("d1")).alias("xx"),
-        F.sum(F.col("k") * F.col("d2") * F.col("d2")).alias("yy"), F.sum("k").alias("n"),
-    )
-    rho = F.when(F.col("n") >= 2, F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))))
-    return s.select(*PAIR, rho.alias("value"), "n")
+    ranks = run.select("side", "task", "v", dev.cast("double").alias("d"), F.col("k").alias("_k"))
+    found = lookup_join(long, ranks, ["side", "task", "v"], "inner", hot_rows=hot_rows, weight="_k")
+    rows = found.groupBy("side", "_row").agg(*[F.max(F.when(F.col("task") == i, F.col("d"))).alias(f"r{i}") for i in tasks.values()])
+    product = {(a, b): (F.col(at[a, b]), F.col(at[b, a])) for a, b in pairs}
+    sums = rows.groupBy("side").agg(
+        *[F.sum(f * g).alias(f"xy{i}") for i, (f, g) in enumerate(product.values())], *[F.count(f * g).alias(f"n{i}") for i, (f, g) in enumerate(product.values())],
+        *[F.sum(F.col(f"r{t}") * F.col(f"r{t}")).alias(f"s{t}") for t in tasks.values()])
+    rho = lambda i, a, b: F.when(F.col(f"n{i}") >= 2, F.try_divide(F.col(f"xy{i}"), F.sqrt(F.col(at[a, b].replace("r", "s"))) * F.sqrt(F.col(at[b, a].replace("r", "s")))))
+    out = F.inline(F.array(*[
+        F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), rho(i, a, b).alias("value"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)]))
+    # a pair without shared rows has no row
+    return sums.select("side", out).where(F.col("n") > 0)
+
+
+def _null_patterns(wide: DataFrame, cols: Sequence[str], x: dict[str, str]) -> dict[str, str | None]:
+    """Per column None if it has no nulls, else the first column with nulls in the same rows; one aggregation without a shuffle of rows."""
+    empty = {c: F.col(x[c]).isNull() for c in cols}
+    counts = wide.agg(
+        *[F.count_if(empty[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.count_if(empty[a] != empty[b]).alias(f"d{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]).first()
+    out: dict[str, str | None] = {}
+    for j, c in enumerate(cols):
+        same = [a for i, a in enumerate(cols[:j]) if out[a] is not None and counts[f"d{i}_{j}"] == 0]
+        out[c] = None if not counts[f"n{j}"] else (out[same[0]] if same else c)
+    return out
 
 
-def association(df: DataFrame, roles: Roles, columns: Sequence[str] | None = None) -> DataFrame:
+def spearman(
+    df: DataFrame, roles: Roles, columns: Sequence[str] | None = None, kinds: Sequence[str] = (NUMERICAL,), hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Signed rank correlation with average ranks under pairwise deletion."""
+    return rank_matrix({"": df}, roles, columns, kinds, hot_rows).drop("side")
+
+
+def association(df: DataFrame, roles: Roles, columns: Sequence[str] | None = None, ranks: DataFrame | None = None) -> DataFrame:
     """Association of every unordered pair: rank correlation, Cramer's V or correlation ratio.
 
-    Pairs with a datetime column have no value and n = 0; fewer than two shared rows, no value.
+    Pairs with a datetime column have no value and n = 0; fewer than two shared rows, no value. `ranks` are rank correlations that are
+    known already.
     """
     spark = df.sparkSession
     cols = [c for c in roles.features if columns is None or c in columns]
     pairs = list(combinations(cols, 2))
     frame = spark.createDataFrame(pairs, "column_1 string, column_2 string")
     parts = [
-        spearman(df, roles, cols).withColumn("value", F.abs("value")),
+        (spearman(df, roles, cols) if ranks is None else ranks).withColumn("value", F.abs("value")),
         cramers_v(df, roles, cols),
         _declared_order(correlation_ratio(df, roles, cols), pairs),
     ]
@@ -174,11 +203,18 @@ def association_matrix(df: DataFrame, roles: Roles) -> DataFrame:
     return mirrored(association(df, roles), df, roles.features)
 
 
-def correlation_similarity(real: DataFrame, syn: DataFrame, roles: Roles, columns: Sequence[str] | None = None) -> DataFrame:
+def _both_ranks(real: DataFrame, syn: DataFrame, roles: Roles, columns: Sequence[str] | None = None) -> DataFrame:
+    return rank_matrix({"r": real, "s": syn}, roles, columns, NUMERIC_LIKE)
+
+
+def correlation_similarity(
+    real: DataFrame, syn: DataFrame, roles: Roles, columns: Sequence[str] | None = None, ranks: DataFrame | None = None
+) -> DataFrame:
     """1 - half the gap between the two signed rank correlations."""
-    r = spearman(real, roles, columns, NUMERIC_LIKE).select(*PAIR, F.col("value").alias("real_value"))
-    s = spearman(syn, roles, columns, NUMERIC_LIKE).select(*PAIR, F.col("value").alias("synthetic_value"))
-    j = r.join(F.broadcast(s), PAIR)  # one row per pair
+    both = _both_ranks(real, syn, roles, columns) if ranks is None else ranks
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("value")))
+    # one row per pair that both tables have
+    j = both.groupBy(*PAIR).agg(side("r").alias("real_value"), side("s").alias("synthetic_value"), F.count(F.lit(1)).alias("_n")).where("_n = 2")
     return j.select(*PAIR, "real_value", "synthetic_value", (1 - F.abs(F.col("real_value") - F.col("synthetic_value")) / 2).alias("score"))
 
 
@@ -217,9 +253,11 @@ def contingency_similarity(
     return freq.join(F.broadcast(totals), PAIR).groupBy(*PAIR).agg((1 - F.sum(gap) / 2).alias("score"))
 
 
-def pair_trends(real: DataFrame, syn: DataFrame, roles: Roles, columns: Sequence[str] | None = None) -> DataFrame:
+def pair_trends(
+    real: DataFrame, syn: DataFrame, roles: Roles, columns: Sequence[str] | None = None, ranks: DataFrame | None = None
+) -> DataFrame:
     """(column_1, column_2, metric, score) for every pair."""
-    corr = correlation_similarity(real, syn, roles, columns).select(*PAIR, F.lit("correlation_similarity").alias("metric"), "score")
+    corr = correlation_similarity(real, syn, roles, columns, ranks).select(*PAIR, F.lit("correlation_similarity").alias("metric"), "score")
     cont = contingency_similarity(real, syn, roles, columns).select(*PAIR, F.lit("contingency_similarity").alias("metric"), "score")
     return corr.unionByName(cont)
 
@@ -238,9 +276,12 @@ def quality(real: DataFrame, syn: DataFrame, roles: Roles) -> DataFrame:
 
 def pair_diagnostics(real: DataFrame, syn: DataFrame, roles: Roles) -> DataFrame:
     """Pairs for which both associations and the trend score exist."""
-    r = association(real, roles).select(*PAIR, F.col("value").alias("real_value"), F.col("n").alias("real_n"))
-    s = association(syn, roles).select(*PAIR, F.col("value").alias("synthetic_value"))
-    q = pair_trends(real, syn, roles).select(*PAIR, "score")
+    ranks = checkpointed(_both_ranks(real, syn, roles))  # one row per table and pair
+    plain = set(roles.of(NUMERICAL))
+    own = lambda side: ranks.where((F.col("side") == side) & F.col("column_1").isin(plain) & F.col("column_2").isin(plain)).drop("side")
+    r = association(real, roles, ranks=own("r")).select(*PAIR, F.col("value").alias("real_value"), F.col("n").alias("real_n"))
+    s = association(syn, roles, ranks=own("s")).select(*PAIR, F.col("value").alias("synthetic_value"))
+    q = pair_trends(real, syn, roles, ranks=ranks).select(*PAIR, "score")
     out = r.join(s, PAIR).join(q, PAIR)  # one row per pair in each
     return out.where(F.col("real_value").isNotNull() & F.col("synthetic_value").isNotNull() & F.col("score").isNotNull())
 
