@@ -23,23 +23,25 @@ PAIR = ["column_1", "column_2"]
 EMPTY = "column_1 string, column_2 string, value double, n bigint"
 
 
-def _q(name: str) -> str:
-    return name.replace("\\", "\\\\").replace("'", "\\'")
-
-
 def _exploded(
     df: DataFrame, pairs: Sequence[tuple[str, str]], first: Callable[[str], Column], second: Callable[[str], Column], drop_nulls: bool
 ) -> DataFrame:
-    """(column_1, column_2, v1, v2) for every row and pair; pairwise deletion when asked."""
+    """(pair, v1, v2) for every row and pair, by its place; pairwise deletion when asked. A number is cheaper to group by than two names."""
     names = sorted({a for a, _ in pairs} | {b for _, b in pairs})
     wide = df.select(*[first(a).alias(f"x_{a}") for a in names if any(a == p for p, _ in pairs)],
                      *[second(b).alias(f"y_{b}") for b in names if any(b == q for _, q in pairs)])
     # one SQL text instead of hundreds of column calls
-    cells = ", ".join(f"named_struct('column_1', '{_q(a)}', 'column_2', '{_q(b)}', 'v1', `x_{a}`, 'v2', `y_{b}`)" for a, b in pairs)
+    cells = ", ".join(f"named_struct('pair', {i}, 'v1', `x_{a}`, 'v2', `y_{b}`)" for i, (a, b) in enumerate(pairs))
     out = wide.selectExpr(f"inline(array({cells}))")
     return out.where(F.col("v1").isNotNull() & F.col("v2").isNotNull()) if drop_nulls else out
 
 
+def _named(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """The names of a pair instead of its place."""
+    name = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair") + 1).alias(PAIR[k])
+    return df.select(name(0), name(1), *[c for c in df.columns if c != "pair"])
+
+
 def _none(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], EMPTY)
 
@@ -55,7 +57,7 @@ def cramers_v(df: DataFrame, roles: Roles, columns: Sequence[str] | None = None,
     if not pairs:
         return _none(df)
     cells = _exploded(df, pairs, as_text, as_text, drop_nulls=True)
-    cells = checkpointed(cells.groupBy(*PAIR, "v1", "v2").agg(F.count(F.lit(1)).cast("double").alias("o")))
+    cells = checkpointed(_named(cells.groupBy("pair", "v1", "v2").agg(F.count(F.lit(1)).cast("double").alias("o")), pairs))
     rows = cells.groupBy(*PAIR, "v1").agg(F.sum("o").alias("r"), F.count(F.lit(1)).alias("_k"))
     cols2 = cells.groupBy(*PAIR, "v2").agg(F.sum("o").alias("c"), F.count(F.lit(1)).alias("_k"))
     # one row per pair in both
@@ -87,7 +89,7 @@ def correlation_ratio(df: DataFrame, roles: Roles, columns: Sequence[str] | None
     if not pairs:
         return _none(df)
     cells = _exploded(df, pairs, as_text, lambda n: as_number(df, n, roles), drop_nulls=True)
-    groups = cells.groupBy(*PAIR, "v1").agg(F.count(F.lit(1)).alias("k"), F.avg("v2").alias("m"), F.var_pop("v2").alias("var"))
+    groups = _named(cells.groupBy("pair", "v1").agg(F.count(F.lit(1)).alias("k"), F.avg("v2").alias("m"), F.var_pop("v2").alias("var")), pairs)
     # one row per pair
     overall = groups.groupBy(*PAIR).agg((F.sum(F.col("k") * F.col("m")) / F.sum("k")).alias("mu"))
     j = groups.join(F.broadcast(overall), PAIR)
@@ -246,7 +248,7 @@ def contingency_similarity(
 
         return _exploded(source, pairs, label, label, drop_nulls=False)
 
-    freq = two_sided(cells(real), cells(syn), [*PAIR, "v1", "v2"])
+    freq = _named(two_sided(cells(real), cells(syn), ["pair", "v1", "v2"]), pairs)
     # one row per pair
     totals = freq.groupBy(*PAIR).agg(F.sum("r").alias("r_all"), F.sum("s").alias("s_all"))
     gap = F.abs(F.try_divide("r", "r_all") - F.try_divide("s", "s_all"))

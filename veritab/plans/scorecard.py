@@ -36,17 +36,21 @@ class Inputs:
     population: DataFrame | None = None
     training: DataFrame | None = None
     params: dict[str, dict] = field(default_factory=dict)
-    lock: Lock = field(default_factory=Lock)
+    locks: dict[str, Lock] = field(default_factory=dict)
     shared: dict[str, DataFrame] = field(default_factory=dict)
 
     def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A result that several metrics read; metrics may run side by side."""
-        with self.lock:
+        with self.locks.setdefault(name, Lock()):
             if name not in self.shared:
                 self.shared[name] = checkpointed(build())
             return self.shared[name]
 
     def vectors(self) -> tuple[DataFrame, DataFrame]:
+        """Both encoded tables as scaled vectors, made once."""
+        return self.once("reference", lambda: self._vectors()[0]), self.once("synthetic", lambda: self._vectors()[1])
+
+    def _vectors(self) -> tuple[DataFrame, DataFrame]:
         if self.encoder is None:
             raise ValueError("encoded tables are needed")
         cols = encoded_columns(self.encoder, self.reference_encoded)
@@ -104,6 +108,13 @@ def _alpha(i: Inputs) -> DataFrame:
     return i.once("alpha_precision", lambda: spatial.alpha_precision(*i.vectors()))
 
 
+def _detection(i: Inputs, p: dict, method: str) -> DataFrame:
+    p = dict(p)
+    folds, seed = p.pop("folds", 5), p.pop("seed", detect.SEED)
+    data = i.once(f"folds:{folds}:{seed}", lambda: detect.folded(i.reference, i.synthetic, i.roles, folds, seed))
+    return detect.fold_scores(data, method, folds, **p).agg(F.avg("auroc").alias("mean_auroc"), F.max("auroc").alias("max_auroc"))
+
+
 def _anonymity(i: Inputs, p: dict) -> DataFrame:
     qi = p.get("qi_columns") or i.roles.quasi_identifiers
     return i.once(f"k:{','.join(qi)}", lambda: privacy.k_anonymity(i.datasets(), qi))
@@ -138,8 +149,7 @@ METRICS: dict[str, tuple[str, Callable[[Inputs, dict], DataFrame]]] = {
     "k_ratios": ("decoded", lambda i, p: _named(privacy.k_ratios(_anonymity(i, p)).withColumn(
         "pair", F.concat_ws("/", "numerator", "denominator")), "pair", "ratio")),
     "k_cluster": ("decoded", lambda i, p: _named(privacy.k_cluster(i.datasets(), p.get("qi_columns") or i.roles.quasi_identifiers, i.roles), "dataset", "k")),
-    **{m: ("decoded", lambda i, p, m=m: _single(detect.detection(i.reference, i.synthetic, i.roles, m, **p).agg(
-        F.avg("auroc").alias("mean_auroc"), F.max("auroc").alias("max_auroc")), "mean_auroc")) for m in detect.DETECTORS},
+    **{m: ("decoded", lambda i, p, m=m: _single(_detection(i, p, m), "mean_auroc")) for m in detect.DETECTORS},
     "fact_rates": ("decoded", lambda i, p: _named(rows.fact_rates(i.population, i.training, i.synthetic, i.roles, p.get("num_bins", 20)), "rate_name", "rate")),
 }
 
