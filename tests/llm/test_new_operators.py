@@ -203,3 +203,60 @@ def test_manifest_finds_a_changed_row(spark):
     bad = manifest.F.when(docs["doc_id"] == 31, manifest.digest(manifest.F.lit("other"))).otherwise(good)
     proofs = manifest.Manifest.build(docs, "doc_id", "source", good, bad).climb().collect()
     assert [p.key for p in proofs if p.folded_root != p.root] == [31]
+
+
+# --- repeated passages of words -----------------------------------------------------------------
+
+
+def plain_passages(rows, size):
+    """Words (doc, text, place) of windows that occur earlier, but those that their own first copy covers."""
+    texts = sorted({(d is not None, d or 0, hashlib.md5((t or "").encode()).digest(), t or "") for d, t in rows})
+    first: dict = {}
+    gone = set()
+    for _, d, k, t in texts:
+        words = [m.group().lower() for m in re.finditer(r"[^\W_]+", t)]
+        for i in range(len(words) - size + 1):
+            w = tuple(words[i : i + size])
+            at = first.setdefault(w, (d, k, i))
+            if at != (d, k, i):
+                start = max(i, at[2] + size) if at[:2] == (d, k) else i
+                gone |= {(d, t, j) for j in range(start, i + size)}
+    return gone
+
+
+def test_passages_equal_brute_force(spark):
+    from veritab.llm import units
+    from veritab.llm.units import KEEP
+
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(400)]
+    words = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    shared = [words(n) for n in (50, 55, 70, 120, 200)]
+    rows = [(0, "la " * 130), (1, f"{shared[4]} {shared[4]}"), (2, None), (3, ""), (4, words(49)), (2**60 + 1, shared[0].upper() + " tail"), (2**60 + 2, "head, " + shared[0])]
+    for i in range(10, 60):
+        p = r.choice(shared).split()
+        a = r.randint(0, 30)
+        rows.append((i if i % 7 else None, f"{words(r.randint(0, 30))} {' '.join(p[a:])} {words(r.randint(0, 60))}"))
+    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id bigint, text string, k int").repartition(4)
+    text = docs["text"].cast("string")
+    prepared = docs.select(units.F.coalesce("doc_id", units.F.lit(units.NO_ID)).alias("doc"), units.F.unhex(units.F.md5(units.F.coalesce(text, units.F.lit("")).cast("binary"))).alias("k"), text.alias("text"))
+    by_key = {(0 if d is None else d, hashlib.md5((t or "").encode()).digest()): t or "" for d, t in rows}
+    got = set()
+    for s in units.passages(prepared).collect():
+        d = 0 if s.doc == units.NO_ID else s.doc
+        t = by_key[d, bytes(s.k)]
+        got |= {(d, t, j) for j, m in enumerate(KEEP.finditer(t)) if s.start <= m.start() and m.end() <= s.stop}
+    assert got == plain_passages(rows, units.PASSAGE)
+
+
+def test_units_of_equal_rows(spark):
+    from veritab.llm import units
+
+    sentence = "one two three four five six seven eight nine ten."
+    docs = spark.createDataFrame([(5, sentence)] * 3 + [(None, sentence), (None, "x")], "doc_id bigint, text string")
+    got = sorted(((r.doc_id or 0), r.n_units, r.n_removed) for r in units.report(docs).collect())
+    # the null id ranks first and keeps it; of the equal rows all lose it
+    assert got == [(0, 0, 0), (0, 1, 0), (5, 1, 1), (5, 1, 1), (5, 1, 1)]
+    short = spark.createDataFrame([(1, "Buy now\nA real sentence of many words that occurs just once here"), (2, "Buy now")], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in units.report(short).collect()} == {1: 0, 2: 0}
+    assert {r.doc_id: r.n_removed for r in units.report(short, line=1).collect()} == {1: 0, 2: 1}

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.distributed import lookup_join
-from veritab.functions.workspace import stored
+from veritab.functions.workspace import discard, stored
 from veritab.llm.common import bounded_batches, named
 
 LENGTH = 400
@@ -60,14 +60,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """64-bit hash of each gram, from prefix sums of a polynomial."""
+    """64-bit hash of each gram of bytes, or of 64-bit hashes of words, from prefix sums of a polynomial."""
     n = len(data)
     up, down = _powers(1 << (n - 1).bit_length())
     letter = np.arange(1, 257, dtype=np.uint64)
     with np.errstate(over="ignore"):
         letter = (letter * MULTIPLIER) ^ (letter << np.uint64(29))
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(letter[data] * up[:n], out=sums[1:])
+        np.cumsum((letter[data] if data.dtype == np.uint8 else data) * up[:n], out=sums[1:])
         keys = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
         keys ^= keys >> np.uint64(31)
         keys *= MULTIPLIER
@@ -85,14 +85,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def stretches(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(text, offset, bytes) of stretches of at most STARTS window starts, in groups of about STARTS bytes."""
+def stretches(texts: list[bytes], length: int, unit: int = 1) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, offset, bytes) of stretches of at most STARTS window starts, in groups of about as many; a token has `unit` bytes."""
     group, size = [], 0
     for i, text in enumerate(texts):
-        for base in range(0, len(text) - length + 1, STARTS):
-            piece = text[base : base + STARTS + length - 1] if len(text) > STARTS else text
+        tokens = len(text) // unit
+        for base in range(0, tokens - length + 1, STARTS):
+            piece = text[base * unit : (base + STARTS + length - 1) * unit] if tokens > STARTS else text
             group.append((i, base, piece))
-            size += len(piece)
+            size += len(piece) // unit
             if size >= STARTS:
                 yield group
                 group, size = [], 0
@@ -100,16 +101,16 @@ def stretches(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int,
         yield group
 
 
-def runs(group: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
+def runs(group: list[tuple[int, int, bytes]], length: int, gram: int, unit: int = 1) -> tuple[np.ndarray, ...]:
     """Per run of windows of some stretches: stretch, hash and place of its lowest gram, first and last start, digests of its bytes.
 
     The stretches are read as one string; windows that would cross from one into the next do not count.
     """
     whole = b"".join(p for _, _, p in group)
-    sizes = np.array([len(p) for _, _, p in group])
+    sizes = np.array([len(p) // unit for _, _, p in group])
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     final = begin + sizes - length  # the last start of each stretch
-    hashes = gram_hashes(np.frombuffer(whole, np.uint8), gram)
+    hashes = gram_hashes(np.frombuffer(whole, np.uint8 if unit == 1 else np.uint64), gram)
     # 40 bits of the hash, then the place: the least is the leftmost of the lowest hashes
     keys = (hashes & ~LOW) | np.arange(len(hashes), dtype=np.uint64)
     at = (sliding_min(keys, length - gram + 1) & LOW).astype(np.int64)
@@ -122,7 +123,7 @@ def runs(group: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[n
     of = np.searchsorted(begin, first, "right") - 1
     last = np.minimum(np.append(first[1:], len(at)) - 1, final[of])
     view = memoryview(whole)
-    digest = b"".join([xxhash.xxh3_128_digest(view[a:z]) for a, z in zip(first.tolist(), (last + length).tolist(), strict=True)])
+    digest = b"".join([xxhash.xxh3_128_digest(view[a:z]) for a, z in zip((first * unit).tolist(), ((last + length) * unit).tolist(), strict=True)])
     both = np.frombuffer(digest, np.int64).reshape(-1, 2)
     return of, hashes[at[first]].view(np.int64), at[first] - begin[of], first - begin[of], last - begin[of], both[:, 0], both[:, 1]
 
@@ -259,7 +260,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     all_spans = spans[0]
     for s in spans[1:]:
         all_spans = all_spans.unionByName(s)
-    return stored(all_spans.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
+    out = stored(all_spans.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
+    discard(found, rows, kinds, items, cut, same, single)
+    return out
 
 
 def _rows(docs: DataFrame) -> DataFrame:

@@ -1,20 +1,22 @@
 """Substring dedup by hashed sentences, lines, paragraphs and passages (operator 7).
 
 A text is cut into paragraphs (at lines without words), lines and sentences. Hashed are sentences of at least `least` words, lines of
-at least LINE words however short their sentences, and paragraphs of at least `least` words; a line that consists of hashed sentences,
+at least `line` words (LINE, any floor from 1 on) however short their sentences, and paragraphs of at least `least` words; a line that consists of hashed sentences,
 and a paragraph of hashed lines or with a hashed sentence, is left to these. Units are normalised (case, spaces, punctuation), hashed to 128 bits and counted over
 all documents; the earliest occurrence by (doc_id, offset) stays and the others go, each with its original offsets.
 
 Passages are runs of at least PASSAGE words, wherever they start: each window of PASSAGE words that occurs earlier goes, and windows
-that touch make one span. Not every window is shuffled: winnowing picks the least hash of GRAM words in each run of as many
-grams as a window has, so equal windows hold equal anchors. Windows are hashed around anchors that repeat only. A window
-that overlaps its own earliest occurrence gives up the words after that only, so one copy always stays.
+that touch make one span. Windows that start beside each other are one row (`llm.repeats` forms the same runs of bytes): runs around
+an equal gram of GRAM words are compared as a whole, those that differ are cut into stretches, and stretches that differ into single
+windows; of equal ones the earliest goes on and stays, the others go. A window that overlaps its own earliest occurrence gives up the
+words after that only, so one copy always stays.
 
 Counting combines in each task, so that a unit with a third of all occurrences is one row per task. The units that repeat
-are sent to every task only if they are few (checked), else joined with hot units split.
+are sent to every task only if they are few (checked), else joined with hot units split. Texts are not stored: a text is known by
+doc_id and digest. Tables between the steps are deleted when the spans are written.
 
-Null and empty texts have no units. A null doc_id ranks first. Rows that share a doc_id are ranked by an internal row
-number, so repeated rows lose their units as any other copy does.
+Null and empty texts have no units. A null doc_id ranks first; rows that share a doc_id are ranked by the digests of their texts. Of
+rows that are equal in both one keeps its units, the others lose all of them. Further columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -22,28 +24,33 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.distributed import BROADCAST_ROWS, lookup_join
-from veritab.functions.workspace import stored
-from veritab.llm.common import bounded_batches
+from veritab.functions.workspace import discard, stored
+from veritab.llm.common import bounded_batches, named
+from veritab.llm.repeats import runs, stretches
 
 LEAST = 8
 LINE = 3
 PASSAGE = 50
-GRAM = 25
+GRAM = 12
+STEP = 7  # offsets of a stretch, about the square root of those of a run
 UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t\r\n])|(?=\n)|\Z)")
 KEEP = re.compile(r"[^\W_]+")
-ROWS = "doc bigint, row bigint, start int, stop int, high bigint, low bigint, sentence boolean"
-SPANS = "doc bigint, row bigint, start int, stop int, high bigint, low bigint"
-ANCHORS = "row bigint, at int, high bigint"
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+ROWS = "doc bigint, k binary, start int, stop int, high bigint, low bigint, units int"
+RUNS = "doc bigint, k binary, gram bigint, high bigint, low bigint, at int, lo int, hi int, start int, stop int, first_stop int, n int"
+CUTS = ("id bigint, doc bigint, k binary, at int, hi int, piece binary, offsets binary, "
+        "parts array<struct<b:bigint,h:bigint,l:bigint,lo:int,hi:int,start:int,stop:int,first_stop:int>>")
+WINDOWS = "w bigint, v bigint, doc bigint, k binary, at int, start int, stop int, first_stop int"
+PLACE = ("doc", "k", "at", "first_stop")
+NO_ID = -(2**63)  # stands for a null doc_id, which ranks first
 
 
 def _digest(kind: bytes, words: list[str]) -> bytes:
@@ -55,7 +62,7 @@ def _trimmed(text: str, start: int, stop: int) -> tuple[int, int]:
     return start + len(piece) - len(piece.lstrip()), start + len(piece.rstrip())
 
 
-def units(text: str, least: int) -> Iterator[tuple[int, int, bytes, bool]]:
+def units(text: str, least: int, short_line: int = LINE) -> Iterator[tuple[int, int, bytes, bool]]:
     """Offsets and digest of each unit of a text that is long enough, and whether it is a sentence."""
     at = 0
     block: list[tuple[int, int, list[str]]] = []  # the lines of the paragraph so far
@@ -76,9 +83,9 @@ def units(text: str, least: int) -> Iterator[tuple[int, int, bytes, bool]]:
                 short = True
             here = stop
         if line:
-            if short and len(line) >= LINE:
+            if short and len(line) >= short_line:
                 yield *_trimmed(text, at, end), _digest(b"line", line), False
-            rest |= short and len(line) < LINE
+            rest |= short and len(line) < short_line
             block.append((at, end, line))
         if block and (not line or end == len(text)):
             words = [w for _, _, x in block for w in x]
@@ -88,106 +95,157 @@ def units(text: str, least: int) -> Iterator[tuple[int, int, bytes, bool]]:
         at = end + 1
 
 
-def _words(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Two 64-bit hashes of each word of a text (2 x words), and the words' offsets."""
-    at, both = [], []
+def _words(text: str) -> tuple[bytes, np.ndarray]:
+    """64-bit hashes of the words of a text in a row, and the words' offsets (2 x words)."""
+    at, hashes = [], []
     for m in KEEP.finditer(text):
         at.append(m.span())
-        both.append(xxhash.xxh3_128_digest(m.group().lower().encode()))
-    return np.frombuffer(b"".join(both), np.uint64).reshape(-1, 2).T, at
-
-
-def _runs(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k words, from prefix sums of a polynomial."""
-    n = len(hashes)
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE)]), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - k, BACK)]), dtype=np.uint64)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up, dtype=np.uint64)])
-        out = (sums[k:] - sums[:-k]) * down
-        out ^= out >> np.uint64(31)
-        return out * BASE
-
-
-def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions and hashes of the grams that winnowing picks: one at least in each window of PASSAGE words."""
-    hashes, _ = _words(text)
-    if hashes.shape[1] < PASSAGE:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    grams = _runs(hashes[0], GRAM)
-    seen = np.lib.stride_tricks.sliding_window_view(grams, PASSAGE - GRAM + 1)
-    at = np.unique(np.arange(len(seen)) + seen.argmin(1))
-    return at.astype(np.int32), grams[at].view(np.int64)
-
-
-def windows(text: str, near: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Offsets and hash of each window of PASSAGE words that holds one of the anchors `near`."""
-    hashes, at = _words(text)
-    n = len(at) - PASSAGE + 1
-    first = np.unique((np.asarray(near)[:, None] - np.arange(PASSAGE - GRAM + 1)).ravel())
-    first = first[(first >= 0) & (first < n)]
-    high, low = (_runs(h, PASSAGE)[first].view(np.int64).tolist() for h in hashes)
-    for i, h, d in zip(first.tolist(), high, low, strict=True):
-        yield at[i][0], at[i + PASSAGE - 1][1], h, d
-
-
-def _cut(least: int):
+        hashes.append(xxhash.xxh3_64_intdigest(m.group().lower()))
+    return np.array(hashes, np.uint64).tobytes(), np.array(at, np.int32).reshape(-1, 2).T
+
+
+def _long(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def _cut(least: int, line: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, row, text in batch.itertuples(index=False, name=None):
-                out.append((doc, row, -1, -1, 0, 0, False))  # each row is there, with or without units
-                for a, b, d, sentence in units(text or "", least):
-                    out.append((doc, row, a, b, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), sentence))
-            made = pd.DataFrame(out, columns=["doc", "row", "start", "stop", "high", "low", "sentence"])
-            yield made.astype({"doc": "Int64"})
+            for doc, k, text in batch.itertuples(index=False, name=None):
+                found = list(units(text or "", least, line))
+                out.append((doc, k, -1, -1, 0, 0, sum(x[3] for x in found)))  # each row is there, with or without units
+                out += [(doc, k, a, b, _long(d[:8]), _long(d[8:]), 0) for a, b, d, _ in found]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")])
 
     return run
 
 
-def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of windows of each text; one that occurs again in its text is a span (n = 0), behind its first occurrence."""
     for batch in batches:
-        for row, text in zip(batch["row"], batch["text"], strict=True):
-            at, high = anchors(text or "")
-            if len(at):
-                yield pd.DataFrame({"row": row, "at": at, "high": high})
-
-
-def _windowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts = [_words(t) if t else (b"", np.zeros((2, 0), np.int32)) for t in batch["text"]]
+        for group in stretches([h for h, _ in texts], PASSAGE, 8):
+            of, gram, at, first, last, high, low = runs(group, PASSAGE, GRAM, 8)
+            row, base = np.array([i for i, _, _ in group])[of], np.array([b for _, b, _ in group])[of]
+            offsets = [texts[i][1] for i, _, _ in group]
+            a, z = first + base, last + base + PASSAGE - 1
+            start, stop, first_stop = (np.array([offsets[g][side, w] for g, w in zip(of.tolist(), x.tolist(), strict=True)], np.int64) for side, x in ((0, a), (1, z), (1, a + PASSAGE - 1)))
+            rows = np.stack([row, gram, high, low, at + base, at - last, at - first, start, stop, first_stop])
+            rows = rows[:, np.lexsort(rows[[4, 6, 5, 3, 2, 0]])]
+            head = np.append(True, (rows[[0, 2, 3, 5, 6], 1:] != rows[[0, 2, 3, 5, 6], :-1]).any(0))
+            kept = np.maximum(rows[7], rows[9][np.flatnonzero(head)][np.cumsum(head) - 1])  # what overlaps the first copy stays
+            rows[7] = np.where(head, rows[7], kept)
+            rows = np.append(rows, np.where(head, 1, 0)[None], 0)[:, head | (rows[7] < rows[8])]
+            out = pd.DataFrame(rows[1:].T, columns=["gram", "high", "low", "at", "lo", "hi", "start", "stop", "first_stop", "n"])
+            out.insert(0, "k", batch["k"].to_numpy()[rows[0]])
+            out.insert(0, "doc", batch["doc"].to_numpy()[rows[0]])
+            yield out
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The stretches of the asked runs of each text."""
     for batch in batches:
-        for doc, row, text, near in zip(batch["doc"], batch["row"], batch["text"], batch["near"], strict=True):
-            made = pd.DataFrame(windows(text, near), columns=["start", "stop", "high", "low"])
-            made.insert(0, "row", row)
-            made.insert(0, "doc", pd.array([None if pd.isna(doc) else doc] * len(made), "Int64"))
-            yield made
-
-
-def _later(real: DataFrame, keys: list[str], least: list[str], name: str) -> DataFrame:
-    """The rows of `real` whose keys occur earlier too, with the struct `first` of the earliest."""
-    place = F.struct(*least)
-    first = stored(real.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"), name)
-    if first.count() <= BROADCAST_ROWS:
-        return real.join(F.broadcast(first.drop("n")), keys).where(place != F.col("first"))
-    return lookup_join(real, first, keys, how="inner", weight="n").where(place != F.col("first"))
-
-
-def passages(rows: DataFrame) -> DataFrame:
-    """doc, row, start, stop, sources of the runs that windows of PASSAGE words with an earlier copy make."""
-    picked = stored(rows.select("row", "text").mapInPandas(_anchored, ANCHORS), "anchors")
-    many = stored(picked.groupBy("high").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
-    again = picked.join(F.broadcast(many.drop("n")), "high") if many.count() <= BROADCAST_ROWS else lookup_join(picked, many, ["high"], how="inner", weight="n")
-    near = again.groupBy("row").agg(F.collect_list("at").alias("near"))
-    found = stored(rows.join(near, "row").select("doc", "row", "text", "near").mapInPandas(_windowed, SPANS), "windows")
-    gone = _later(found, ["high", "low"], ["doc", "row", "start", "stop"], "repeated")
-    # a window that overlaps its kept copy keeps the words that both share
-    kept = F.when(F.col("first.row") == F.col("row"), F.col("first.stop")).otherwise(-1)
-    left = gone.select("doc", "row", F.greatest("start", kept).alias("start"), "stop", F.struct(F.col("first.doc").alias("source")).alias("source")).where("start < stop")
-    order = Window.partitionBy("row").orderBy("start", "stop")
-    # a window may be clipped behind others that start later, so spans end where the longest so far does
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = left.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = apart.groupBy("doc", "row", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set("source").alias("sources"))
-    return runs.select("doc", "row", "start", "stop", F.transform("sources", lambda s: s["source"]).alias("sources"))
+        out = []
+        for doc, k, text, items in zip(batch["doc"], batch["k"], batch["text"], batch["items"], strict=True):
+            words, offsets = _words(text)
+            for i in items:
+                at, lo, hi = int(i["at"]), int(i["lo"]), int(i["hi"])
+                parts = []
+                for p in range(lo // STEP * STEP, hi + 1, STEP):
+                    a, z = max(lo, p), min(hi, p + STEP - 1)
+                    core = words[8 * (at - p) : 8 * (at - p - STEP + 1 + PASSAGE)]
+                    whole = xxhash.xxh3_128_digest(bytes([a - p, z - p]) + words[8 * (at - z) : 8 * (at - a + PASSAGE)])
+                    ends = {"start": int(offsets[0, at - z]), "stop": int(offsets[1, at - a + PASSAGE - 1]), "first_stop": int(offsets[1, at - z + PASSAGE - 1])}
+                    parts.append({"b": _long(xxhash.xxh3_64_digest(p.to_bytes(4, "little") + core)), "h": _long(whole[:8]), "l": _long(whole[8:]), "lo": a, "hi": z, **ends})
+                piece = slice(at - hi, at - lo + PASSAGE)
+                out.append((int(i["id"]), doc, k, at, hi, words[8 * piece.start : 8 * piece.stop], np.ascontiguousarray(offsets[:, piece]).tobytes(), parts))
+        yield pd.DataFrame(out, columns=["id", "doc", "k", "at", "hi", "piece", "offsets", "parts"])
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The single windows of the asked stretches."""
+    for batch in batches:
+        out = []
+        for doc, k, at, hi, piece, offsets, asked in batch[["doc", "k", "at", "hi", "piece", "offsets", "asked"]].itertuples(index=False, name=None):
+            chars = np.frombuffer(offsets, np.int32).reshape(2, -1)
+            for p in asked:
+                for o in range(int(p["lo"]), int(p["hi"]) + 1):
+                    a = hi - o
+                    w = xxhash.xxh3_128_digest(piece[8 * a : 8 * (a + PASSAGE)])
+                    stop = int(chars[1, a + PASSAGE - 1])
+                    out.append((_long(w[:8]), _long(w[8:]), doc, k, at - o, int(chars[0, a]), stop, stop))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOWS.split(", ")])
+
+
+def _gone(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """doc, k, start, stop, source of the rows that are not the first of their group; groups: keys, first, count."""
+    found = lookup_join(rows, groups.where("count > 1").select(*keys, "first", "count"), keys, how="inner", weight="count")
+    own = (F.col("doc") == F.col("first.doc")) & (F.col("k") == F.col("first.k"))
+    later = found.where(~(own & (F.col("at") == F.col("first.at"))))
+    # what overlaps the kept copy stays
+    start = F.when(own, F.greatest("start", F.col("first.first_stop"))).otherwise(F.col("start"))
+    return later.select("doc", "k", start.alias("start"), "stop", F.col("first.doc").alias("source")).where("start < stop")
+
+
+def _firsts(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*PLACE, *more)).alias("first"))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """doc, k, start, stop, source: spans of the windows of PASSAGE words that occur earlier; docs: doc, k, text."""
+    found = stored(docs.mapInPandas(_scan, RUNS), "runs")
+    spans = [found.where("n = 0").select("doc", "k", "start", "stop", F.col("doc").alias("source"))]
+    every = found.where("n > 0")
+    grams = stored(every.groupBy("gram").agg(F.count(F.lit(1)).alias("count")).where("count > 1"), "grams")
+    rows = stored(lookup_join(every, grams, ["gram"], how="inner", weight="count"), "runs")
+    whole = ["gram", "high", "low", "lo", "hi"]
+    kinds = stored(_firsts(rows, whole), "kinds")
+    spans.append(_gone(rows, kinds, whole))
+    # the first run of each kind goes on where its gram has several kinds
+    mixed = stored(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
+    items = stored(lookup_join(kinds, mixed, ["gram"], how="inner", weight="n").select(F.monotonically_increasing_id().alias("id"), "first.doc", "first.k", "first.at", "lo", "hi"), "items")
+    asked = items.groupBy("doc", "k").agg(F.collect_list(F.struct("id", "at", "lo", "hi")).alias("items"))  # a text's own runs
+    texts = docs.join(asked, ["doc", "k"]).select("doc", "k", "text", "items")
+    cut = stored(texts.mapInPandas(_parts, CUTS), "parts")
+    part = cut.select("id", "doc", "k", "at", F.inline("parts"))
+    same = stored(_firsts(part, ["b", "h", "l"], "id", "lo", "hi"), "same")
+    spans.append(_gone(part, same, ["b", "h", "l"]))
+    digits = stored(same.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "digits")
+    split = lookup_join(same, digits, ["b"], how="inner", weight="n").select("first.id", "first.lo", "first.hi")
+    parts = split.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))  # a run's own stretches
+    once = cut.select("id", "doc", "k", "at", "hi", "piece", "offsets").join(parts, "id")
+    single = stored(once.mapInPandas(_windows, WINDOWS), "windows")
+    spans.append(_gone(single, stored(_firsts(single, ["w", "v"]).where("count > 1"), "same"), ["w", "v"]))
+    out = stored(reduce(DataFrame.unionByName, spans).distinct(), "passages")
+    discard(found, rows, kinds, items, cut, same, single)
+    return out
+
+
+def _later(real: DataFrame) -> DataFrame:
+    """doc, k, start, stop, source of the units that occur earlier too."""
+    place = F.struct("doc", "k", "start")
+    first = stored(real.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"), "repeated")
+    few = first.count() <= BROADCAST_ROWS
+    found = real.join(F.broadcast(first.drop("n")), ["high", "low"]) if few else lookup_join(real, first, ["high", "low"], how="inner", weight="n")
+    # equal rows have equal places, all of them stay here
+    return found.where(place != F.col("first")).select("doc", "k", "start", "stop", F.col("first.doc").alias("source"))
+
+
+def _whole(least: int, line: int):
+    """Every unit and passage of a text: what the second of two equal rows loses."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, k, text in batch[["doc", "k", "text"]].itertuples(index=False, name=None):
+                spans = [(a, b) for a, b, _, _ in units(text or "", least, line)]
+                at = [m.span() for m in KEEP.finditer(text or "")]
+                if len(at) >= PASSAGE:
+                    spans.append((at[0][0], at[-1][1]))
+                out.append((doc, k, [{"start": a, "stop": b, "source": doc} for a, b in sorted(spans)]))
+            yield pd.DataFrame(out, columns=["doc", "k", "spans"])
+
+    return run
 
 
 def _apart(spans: Column) -> Column:
@@ -202,27 +260,33 @@ def _apart(spans: Column) -> Column:
                         ids.append([])
                     ids[-1].append(p)
                     stop = max(stop, p["stop"])
-                out.append([{"start": g[0]["start"], "stop": max(p["stop"] for p in g), "sources": list(dict.fromkeys(None if pd.isna(x) else int(x) for p in g for x in p["sources"]))} for g in ids])
+                out.append([{"start": g[0]["start"], "stop": max(p["stop"] for p in g), "sources": list(dict.fromkeys(None if p["source"] == NO_ID else int(p["source"]) for p in g))} for g in ids])
             yield pd.Series(out, dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<struct<start:int,stop:int,sources:array<bigint>>>")(spans)
 
 
-def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, row, n_units (sentences of at least `least` words), removed (array of start, stop, source doc_ids in order): one row per row of docs."""
+def repeats(docs: DataFrame, least: int = LEAST, line: int = LINE) -> DataFrame:
+    """doc_id, n_units (sentences of at least `least` words), removed (array of start, stop, source doc_ids in order): one row per row of docs."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    rows = stored(rows, "texts")  # row numbers hold from here on
-    every = stored(rows.mapInPandas(_cut(least), ROWS), "units")
-    gone = _later(every.where(F.col("start") >= 0), ["high", "low"], ["doc", "row", "start"], "repeated")
-    gone = gone.select("doc", "row", "start", "stop", F.array("first.doc").alias("sources")).unionByName(passages(rows)).withColumn("units", F.lit(0))
-    none = F.lit(None)
-    count = every.groupBy("doc", "row").agg(F.sum(F.col("sentence").cast("int")).alias("units"))
-    both = count.select("doc", "row", none.cast("int").alias("start"), none.cast("int").alias("stop"), none.cast("array<bigint>").alias("sources"), "units").unionByName(gone)
-    span = F.when(F.col("start").isNotNull(), F.struct("start", "stop", "sources"))
-    found = both.groupBy("doc", "row").agg(F.sum("units").alias("n_units"), F.sort_array(F.collect_list(span)).alias("spans"))
-    return found.select(F.col("doc").alias("doc_id"), "row", "n_units", _apart(F.col("spans")).alias("removed"))
+    text = named(docs, "text").cast("string")
+    rows = docs.select(F.coalesce(named(docs, "doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("k"), text.alias("text"))
+    long = passages(rows)
+    every = stored(rows.mapInPandas(_cut(least, line), ROWS), "units")
+    gone = long.unionByName(_later(every.where(F.col("start") >= 0)))
+    mark = every.where(F.col("start") < 0).select("doc", "k", "units", F.lit(None).cast("struct<start:int,stop:int,source:bigint>").alias("span"))
+    both = mark.unionByName(gone.select("doc", "k", F.lit(None).cast("int").alias("units"), F.struct("start", "stop", "source").alias("span")))
+    # a text's own spans; equal rows are counted
+    found = stored(both.groupBy("doc", "k").agg(F.max("units").alias("units"), F.count("units").alias("rows"), F.sort_array(F.collect_set("span")).alias("spans")), "found")
+    discard(every)
+    again = found.where("rows > 1").select("doc", "k", "units", "rows")
+    copies = rows.join(again.select("doc", "k"), ["doc", "k"])
+    lost = copies.mapInPandas(_whole(least, line), "doc bigint, k binary, spans array<struct<start:int,stop:int,source:bigint>>")
+    lost = lost.groupBy("doc", "k").agg(F.first("spans").alias("spans")).join(again, ["doc", "k"])
+    others = lost.select("doc", "units", "spans", F.explode(F.sequence(F.lit(2), F.col("rows").cast("int")))).drop("col")
+    every_row = found.select("doc", "units", "spans").unionByName(others)
+    return every_row.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), F.col("units").cast("bigint").alias("n_units"), _apart(F.col("spans")).alias("removed"))
 
 
 def without(text: Column, removed: Column) -> Column:
@@ -239,9 +303,9 @@ def without(text: Column, removed: Column) -> Column:
     return F.pandas_udf(run, "string")(text, F.transform(removed, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
 
 
-def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def report(docs: DataFrame, least: int = LEAST, line: int = LINE) -> DataFrame:
     """doc_id, n_units, n_removed, chars_removed, removed (start:end), source_ids (documents that keep what was removed)."""
-    r = repeats(docs, least)
+    r = repeats(docs, least, line)
     return r.select(
         "doc_id", "n_units", F.size("removed").cast("bigint").alias("n_removed"),
         F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, x: s + x["stop"] - x["start"]).alias("chars_removed"),
