@@ -24,7 +24,7 @@ def test_same_as_sql(spark, sf, name):
 def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_top_k_edges(spark):
@@ -109,6 +109,49 @@ def test_near_groups(spark, sf, width, percent, monkeypatch):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c} | {None}
 
 
+def test_near_groups_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = ([f"{n}{x}" for x in rng.integers(0, 900, 80)] for n in "abc")
+    near = lambda w: " ".join([*w[:40], "changed", *w[41:]])
+    rows = [(1, " ".join(a)), (2, near(a)), (1, " ".join(b)), (3, near(b)), (2, " ".join(c)), (4, "something else entirely"), (1, "")]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, gone int, id int")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in nearset.near_groups(df, 3, 85).collect())
+    assert got == [(1, 1, True)] * 3 + [(2, 1, False)] * 2 + [(3, 1, False), (4, 4, True)]
+    kept = nearset.one_of_each(df, 3, 85)
+    assert kept.columns == df.columns
+    # a near copy goes, the other text of its id stays
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {rows[0], rows[2], rows[4], rows[5], rows[6]}
+
+
+def test_near_groups_find_every_link(spark):
+    """All components and set sizes of the documents at 0.01 against an exact prefix filter."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = {i: set(nearset.shingles(t, 3).tolist()) for i, t in rows}
+    seen = collections.Counter(x for s in sets.values() for x in s)
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    index: dict = collections.defaultdict(list)
+    for i in sorted(sets, key=lambda i: (len(sets[i]), i)):
+        order = sorted(sets[i], key=lambda x: (seen[x], x))
+        found = set()
+        for x in order[: len(order) - math.ceil(0.85 * len(order)) + 1]:
+            found.update(index[x])
+            index[x].append(i)
+        for j in found:
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nearset.near_groups(docs).collect()}
+    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+
+
 def test_language_model(spark):
     rng = np.random.default_rng(4)
     words = [f"syl{a}la{b}" for a in range(60) for b in range(60)]

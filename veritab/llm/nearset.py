@@ -16,7 +16,8 @@
 
 Sets are small for most documents; full sets are made again for clustered documents only. Null and empty texts have no
 words: an empty set, linked with nothing. A null doc_id is kept as it is, linked with nothing. Rows that share
-a doc_id are one document for linking if their sets are equal; otherwise both texts' links count for that id.
+a doc_id are one document for linking if their sets are equal; otherwise both texts' links count for that id (in `one_of_each`, which
+removes texts, each text goes by its own links). Further columns, whatever their names, take no part and stay as they are.
 """
 
 from __future__ import annotations
@@ -71,18 +72,25 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
+def digest_of(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """doc, n, digest of the set, coordinates (128 ints) and sketch (their low bytes) of every row."""
+    """id, key, n, digest of the set, coordinates (128 ints) and sketch (their low bytes) of every row (id, key, text)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc"], batch["text"], strict=True):
+            for text in batch["text"]:
                 s = shingles(text, width)
                 m = minwise(s)
-                out.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, m.view(np.int32), m.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["doc", "n", "digest", "coordinates", "sketch"]).astype({"doc": "Int64"})
+                out.append((len(s), digest_of(s) if len(s) else None, m.view(np.int32), m.astype(np.uint8).tobytes()))
+            made = pd.DataFrame(out, columns=["n", "digest", "coordinates", "sketch"])
+            made.insert(0, "key", batch["key"].to_numpy())
+            made.insert(0, "id", batch["id"].to_numpy())
+            yield made
 
-    return docs.mapInPandas(run, "doc bigint, n bigint, digest binary, coordinates array<int>, sketch binary")
+    return docs.mapInPandas(run, "id string, key binary, n bigint, digest binary, coordinates array<int>, sketch binary")
 
 
 def _child(node: Column, salt: int) -> Column:
@@ -244,17 +252,18 @@ def links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, width: int, per
     parts = F.ceil(F.col("many") / PART).cast("int")
     own = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
     placed = stored(clusters.join(sizes, "group").withColumn("parts", parts).select("doc", "group", "parts", own.alias("own")), "placed")
-    ids = placed.select("doc")
-    ids = F.broadcast(ids) if placed.count() <= BROADCAST_IDS else ids
+    wanted = stored(sets.join(placed, "doc").select("doc", "id", "digest", "sketch", "group", "parts", "own"), "wanted")
+    ids = wanted.select("id").distinct()
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc": batch["doc"], "hashes": [shingles(t, width).tobytes() for t in batch["text"]]})
+            made = [shingles(t, width) for t in batch["text"]]
+            yield pd.DataFrame({"digest": [digest_of(s) for s in made], "hashes": [s.tobytes() for s in made]})
 
-    # a representative's row is known by its digest too, as ids may repeat
-    texts = docs.join(ids, "doc", "left_semi").mapInPandas(run, "doc bigint, hashes binary")
-    digested = texts.join(sets.select("doc", "n", "sketch"), "doc").where(F.octet_length("hashes") == F.col("n") * 8)
-    full = digested.join(placed, "doc")
+    # the texts of a representative's id hold its set, and perhaps others
+    texts = docs.join(ids, "id", "left_semi").select("text").mapInPandas(run, "digest binary, hashes binary")
+    full = texts.join(wanted, "digest")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     met = full.select("doc", "hashes", "sketch", "group", "own", other).select(
         "doc", "hashes", "sketch", "group", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
@@ -262,31 +271,61 @@ def links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, width: int, per
     return met.groupBy("group", "one", "two").applyInPandas(_linked(percent), "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs. Links: 100 * common >= percent * union."""
+def _sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row (id, key, n, digest), the distinct sets (doc, digest, id) and their links (a, b).
+
+    A set's node is a number of its own, not one of the ids that have it, so ids may repeat with other texts. Ids travel as text, as
+    a null among numbers would turn a batch's numbers into floats.
+    """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text"))
+    text = docs["text"].cast("string")
+    key = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    rows = docs.select(docs["doc_id"].cast("bigint").cast("string").alias("id"), key.alias("key"), text.alias("text"))
     every = stored(described(rows, width), "sets")
-    real = every.where(F.col("doc").isNotNull() & F.col("digest").isNotNull())
-    least = real.groupBy("digest").agg(F.min("doc").alias("doc"))
+    real = every.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
+    least = real.groupBy("digest").agg(F.min(F.col("id").cast("bigint")).cast("string").alias("id"))
     # the representative's coordinates come with it; equal rows of it are one
-    sets = stored(real.join(least, ["digest", "doc"]).dropDuplicates(["digest"]).select("doc", "digest", "n", "coordinates", "sketch"), "representatives")
+    kinds = real.join(least, ["digest", "id"]).dropDuplicates(["digest"]).select("id", "digest", "n", "coordinates", "sketch")
+    sets = stored(kinds.withColumn("doc", F.monotonically_increasing_id()), "representatives")
     clusters = stored(components(coarse_ties(sets, percent / 100)).select(F.col("node").alias("doc"), "group"), "clusters")
     whole = stored(clusters.union(clusters.select(F.col("group").alias("doc"), "group")).distinct(), "clusters")
-    found = components(links(rows, sets, whole, width, percent))
+    found = stored(links(rows, sets, whole, width, percent), "links")
+    return every.select("id", "key", "n", "digest"), sets.select("doc", "digest"), found
+
+
+def _grouped(every: DataFrame, sets: DataFrame, ties: DataFrame) -> DataFrame:
+    """id, key, n, component: per row the smallest id of the sets that its set is tied to."""
+    known = every.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
+    ids = known.groupBy("digest").agg(F.min(F.col("id").cast("bigint")).alias("least"))
+    nodes = stored(sets.join(ids, "digest").select("doc", "digest", "least"), "nodes")
+    found = components(ties)
     named = stored(found.union(found.select("group", "group")).distinct(), "components")
-    smallest = stored(named.groupBy("group").agg(F.min("node").alias("component")), "smallest")
-    by_doc = named.join(smallest, "group").select(F.col("node").alias("doc"), "component")
-    by_set = sets.select("digest", "doc").join(by_doc, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
-    out = every.select("doc", "n", "digest").join(stored(by_set, "by_set"), "digest", "left")
-    own = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("doc") == own).alias("kept"))
+    placed = stored(nodes.join(named.select(F.col("node").alias("doc"), "group"), "doc", "left").select("digest", "least", F.coalesce("group", "doc").alias("group")), "placed")
+    smallest = stored(placed.groupBy("group").agg(F.min("least").alias("component")), "smallest")
+    by_set = stored(placed.join(smallest, "group").select("digest", "component"), "by_set")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component", F.col("id").cast("bigint")))
+    return every.join(by_set, "digest", "left").select(F.col("id").cast("bigint").alias("id"), "key", "n", own.alias("component"))
+
+
+def near_groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of docs. Links: 100 * common >= percent * union."""
+    every, sets, ties = _sets(docs, width, percent)
+    # sets that one id has are linked through it
+    shared = every.where(F.col("id").isNotNull() & F.col("digest").isNotNull()).select("id", "digest").distinct().join(sets, "digest")
+    first = shared.groupBy("id").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    through = shared.join(first, "id").where("doc <> a").select("a", F.col("doc").alias("b"))
+    out = _grouped(every, sets, stored(ties.union(through), "ties"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of smallest id of each group, with their own columns; rows without id or words stay."""
-    dropped = near_groups(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    key = fresh(docs, "gone")
-    gone = stored(dropped.select(F.col("gone").alias(key)), "gone")
+    """The rows of smallest id of each group of texts, with their own columns; rows without id or words stay.
+
+    Groups are of texts here: a text whose id also has another text goes or stays by its own links.
+    """
+    grouped = _grouped(*_sets(docs, width, percent))
+    gone_id, gone_key = fresh(docs, "gone"), fresh(docs, "gone_text")
+    gone = stored(grouped.where(F.col("id") != F.col("component")).select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")
+    key = F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")))
+    return docs.join(gone, (docs["doc_id"].cast("bigint") == gone[gone_id]) & (key == gone[gone_key]), "left_anti")
