@@ -249,6 +249,19 @@ def test_passages_equal_brute_force(spark):
     assert got == plain_passages(rows, units.PASSAGE)
 
 
+def test_words_of_passages_are_those_of_the_pattern():
+    from veritab.llm import units
+
+    r = random.Random(2)
+    letters = "abAB09_ .\n\u00e9\u00c9\u0130\u4e2d\U0001f642\u0345\u00bd\u0660-"
+    for text in ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["", "x" * 5000]:
+        hashes, at = units._words(text)
+        assert at.T.tolist() == [list(m.span()) for m in units.KEEP.finditer(text)]
+        assert len(hashes) == 8 * at.shape[1]
+    same = [units._words(t)[0] for t in ("Word", "word", "  WORD!")]
+    assert len(set(same)) == 1 and len({units._words(t)[0] for t in ("ab", "ba", "aab", "b", "abb", "aba")}) == 6
+
+
 def test_units_of_equal_rows(spark):
     from veritab.llm import units
 

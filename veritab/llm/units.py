@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -95,13 +96,39 @@ def units(text: str, least: int, short_line: int = LINE) -> Iterator[tuple[int,
         at = end + 1
 
 
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it is part of a word (as for KEEP), and 64 bits for its lower-case form."""
+    every = [chr(i) for i in range(sys.maxunicode + 1)]
+    low = np.fromiter((ord(x.lower()[0]) for x in every), np.uint64, len(every))
+    with np.errstate(over="ignore"):
+        low = (low + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        low = (low ^ (low >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.fromiter((x.isalnum() for x in every), bool, len(every)), low
+
+
+@cache
+def _weights(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(n, 0x94D049BB133111EB, np.uint64), dtype=np.uint64)
+
+
 def _words(text: str) -> tuple[bytes, np.ndarray]:
     """64-bit hashes of the words of a text in a row, and the words' offsets (2 x words)."""
-    at, hashes = [], []
-    for m in KEEP.finditer(text):
-        at.append(m.span())
-        hashes.append(xxhash.xxh3_64_intdigest(m.group().lower()))
-    return np.array(hashes, np.uint64).tobytes(), np.array(at, np.int32).reshape(-1, 2).T
+    part, letter = _letters()
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = part[code]
+    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0)).astype(np.int32)
+    at = edges.reshape(-1, 2).T
+    if not len(edges):
+        return b"", at
+    length = at[1] - at[0]
+    first = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    with np.errstate(over="ignore"):
+        hashes = np.add.reduceat(letter[code[inside]] * _weights(1 << int(length.max()).bit_length())[place], first)
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return hashes.tobytes(), at
 
 
 def _long(digest: bytes) -> int:
