@@ -37,9 +37,19 @@ def test_base_spans(hard):
 def test_checksums_and_context(spark):
     text = "my iban DE89 3704 0044 0532 0130 00, not DE88 3704 0044 0532 0130 00; ssn 123-45-6789 or 123-45-6780 and far away " + "x" * 50 + " 123-45-6781"
     r = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert r.spans == "iban:8:35,ssn:74:85"
+    # the second number lies within the window of the same word, the third does not
+    assert r.spans == "iban:8:35,ssn:74:85,ssn:89:100"
 
 
+def test_context_reaches_over_other_matches(spark):
+    texts = ["SSN: 123-45-6789 (John), 123-45-6780", "social security number 123-45-6789; spouse 123-45-6780", "call 555-123-4567 / home 555-123-4568 or 555-123-4569",
+             "ssn 123-45-6789" + " x" * 30 + " 123-45-6780", "123-45-6780 " + "y " * 10 + "ssn"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: len([s for s in r.spans.split(",") if s]) for r in pii.personal_data(docs).collect()}
+    # the last number of the third text starts 41 characters after the word
+    assert got == {0: 2, 1: 2, 2: 2, 3: 1, 4: 1}
+    assert pii.personal_data(docs.limit(0)).count() == 0
+
 def test_lists_and_words_after(spark):
     texts = ["SSNs: 123-45-6789, 123-45-6780, 223-45-6781", "phones " + ", ".join(f"555-123-45{i}" for i in range(10, 30)) + " and 555-123-4567", "123-45-6789 (SSN)", "123-45-6789, 123-45-6780 and " + "x" * 50 + " ssn"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

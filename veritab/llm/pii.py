@@ -1,7 +1,8 @@
 r"""Personal data (operator 1), in DataFrame expressions only.
 
-Patterns propose spans, checksums confirm them (Luhn for cards, mod 97 for bank accounts), and words just before or
-after a span raise its score. A word before the first of a list of spans (apart by separators or "and") counts for all of them. The base kinds email, ip, card and phone are kept whatever their score; the others (iban, ssn, localphone)
+Patterns propose spans, checksums confirm them (Luhn for cards, mod 97 for bank accounts), and words up to
+CONTEXT characters before or after a span raise its score, whatever spans lie between. A word before the first of a list of spans (apart
+by separators or "and") counts for all of them. The base kinds email, ip, card and phone are kept whatever their score; the others (iban, ssn, localphone)
 need a score of THRESHOLD. Offsets are code points, end exclusive.
 
 A text is split at the matches of a pattern: the pieces give the offsets, and the pieces around a match hold its context.
@@ -102,16 +103,23 @@ def _word(window: Column, kind: Kind) -> Column:
 
 
 def _contexts(cut: Column, kind: Kind) -> Column:
-    """Per match, whether a context word is near: in the piece before it or before its list, or just after it."""
+    """Per match, whether a context word is near: in the characters before it or before its list, or after it.
+
+    The windows are of the text as it was, other matches included: a few pieces and matches are longer than a window together, unless
+    the text begins or ends.
+    """
     gaps, hits = cut["gaps"], cut["hits"]
 
+    def before(i: Column) -> Column:
+        earlier = [F.coalesce(x, F.lit("")) for k in range(5, 0, -1) for x in (F.get(gaps, i - k), F.get(hits, i - k))]
+        return F.right(F.concat(*earlier, F.get(gaps, i)), F.lit(CONTEXT))
+
     def after(i: Column) -> Column:
-        # the next pieces and matches, which are longer than the window together unless the text ends
         return F.left(F.concat(*[F.coalesce(x, F.lit("")) for k in range(1, 6) for x in (F.get(gaps, i + k), F.get(hits, i + k))]), F.lit(CONTEXT))
 
     def step(marks: Column, i: Column) -> Column:
         gap = F.get(gaps, i)
-        return F.concat(marks, F.when(_word(F.right(gap, F.lit(CONTEXT)), kind), "1").when(gap.rlike(LISTED), F.right(marks, F.lit(1))).otherwise("0"))
+        return F.concat(marks, F.when(_word(before(i), kind), "1").when(gap.rlike(LISTED), F.right(marks, F.lit(1))).otherwise("0"))
 
     at = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
     marks = F.split(F.aggregate(at, F.lit("0"), step), "")
