@@ -167,17 +167,50 @@ def test_language_model(spark):
     for i, w in kept.items():
         base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(count[x] > 0 for x in w), n)
-        assert got[i].base_score == pytest.approx(base) and math.isfinite(got[i].score) and got[i].score < 0 and got[i].spelled_score <= got[i].score + 1e-9
-    held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+        assert got[i].base_score == pytest.approx(base) and math.isfinite(got[i].score) and got[i].score < 0
+    # the base counts all unseen words as one, the model spells them: they compare on texts whose words are known
+    held = [r for r in got.values() if r.held_out and r.n_known == r.n_tokens]
+    assert len(held) > 5 and sum(r.score for r in held) > sum(r.base_score for r in held)
     assert pitmanyor.scores(df.limit(0)).count() == 0
+    # the same rows dealt otherwise, and equal rows
+    again = pitmanyor.scores(df.repartition(7, "text").unionByName(df.where("doc_id = 1002"))).collect()
+    assert len(again) == len(rows) + 1 and sum(r.doc_id == 1002 for r in again) == 2
+    mean = {r.doc_id: r.score for r in pitmanyor.scores(df.coalesce(1)).collect()}
+    one = {r.doc_id: r.score for r in pitmanyor.scores(df.repartition(7)).collect()}
+    assert all(one[i] == pytest.approx(mean[i], abs=1e-9) for i in mean)
+
+
+def test_word_probabilities_sum_to_one(spark):
+    counts = {f"w{i}": 1 + 400 // (i + 1) for i in range(200)} | {"": 90, "zq": 1}
+    words = spark.createDataFrame(list(counts.items()), "word string, c bigint").repartition(3)
+    m = pitmanyor.learn(words)
+    w = [x.encode() for x in counts]
+    p = m.probability(w, np.array(list(counts.values()), float))
+    left = []
+    for s in m.samples:
+        base = np.exp(s.after.log_probability(w))
+        assert 0 < base.sum() < 1
+        left.append((pitmanyor.STRENGTH + s.discount * s.tables) / (pitmanyor.STRENGTH + m.total) * (1 - base.sum()))
+    assert p.sum() + np.mean(left) == pytest.approx(1, abs=1e-9)
+    # the spelling is a distribution over byte strings: one step after any context sums to 1
+    s = m.samples[0].after
+    nexts = [s.back[c] * s.one[(c % pitmanyor.SYMBOLS) * pitmanyor.SYMBOLS : (c % pitmanyor.SYMBOLS + 1) * pitmanyor.SYMBOLS].copy() for c in (pitmanyor.END * pitmanyor.SYMBOLS + pitmanyor.END, 119 * pitmanyor.SYMBOLS + 49)]
+    for c, row in zip((pitmanyor.END * pitmanyor.SYMBOLS + pitmanyor.END, 119 * pitmanyor.SYMBOLS + 49), nexts, strict=True):
+        seen = s.keys // pitmanyor.SYMBOLS == c
+        row[s.keys[seen] % pitmanyor.SYMBOLS] = s.values[seen]
+        assert row.sum() == pytest.approx(1, abs=1e-6)
+    unseen = m.probability([b"nowhere"], np.zeros(1))
+    assert 0 < unseen[0] < p.min()
 
 
 def test_seating_is_within_bounds():
-    rng = np.random.default_rng(0)
+    own = np.random.default_rng(0).integers(0, 2**63, 6).astype(np.uint64)
     c = np.array([0, 1, 2, 10, 1000, 10**6], float)
-    t = pitmanyor.seated(c, np.full(6, 0.01), 0.6, 100.0, rng)
+    t = pitmanyor.seated(c, np.full(6, 0.01), 0.6, 100.0, own, 0)
     assert (t <= c).all() and t[1] == 1 and t[0] == 0 and (t[2:] >= 1).all() and t[5] > t[3]
+    # a dish draws the same in other company
+    back = pitmanyor.seated(c[::-1].copy(), np.full(6, 0.01), 0.6, 100.0, own[::-1].copy(), 0)
+    assert (back[::-1] == t).all()
 
 
 def test_pipeline_stages(spark, sf):
