@@ -28,6 +28,34 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORD = r"'[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'"
+ORACLE["op2_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({LOW.format('text')}, '') AS t FROM documents),
+w AS (SELECT r, doc_id, regexp_extract_all(t, {WORD}) AS words, string_split_regex(t, {WORD}) AS seps FROM d),
+tok AS (
+  SELECT r, j, sum(length(sep)) OVER p + sum(length(word)) OVER p - length(word) AS a, sum(length(sep)) OVER p + sum(length(word)) OVER p AS z
+  FROM (SELECT r, unnest(range(len(words))) AS j, unnest(words) AS word, unnest(seps[1:len(words)]) AS sep FROM w) WINDOW p AS (PARTITION BY r ORDER BY j ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(coalesce({LOW.format('text')}, ''), {WORD}) AS words FROM benchmark),
+pat AS (
+  SELECT DISTINCT item, k, array_to_string(words[j + 1:j + k], ' ') AS win
+  FROM (SELECT item, words, least(10, len(words)) AS k, unnest(range(len(words) - least(10, len(words)) + 1)) AS j FROM b WHERE len(words) > 0)),
+place AS (
+  SELECT r, k, j, array_to_string(words[j + 1:j + k], ' ') AS win
+  FROM (SELECT r, words, k, unnest(range(len(words) - k + 1)) AS j FROM w, (SELECT DISTINCT k FROM pat) WHERE len(words) >= k)),
+hit AS (SELECT DISTINCT r, j, k, item FROM place JOIN pat USING (k, win)),
+cover AS (SELECT DISTINCT r, unnest(range(j, j + k)) AS j FROM hit),
+island AS (
+  SELECT r, min(a) AS a, max(z) AS z FROM (SELECT r, j, a, z, j - row_number() OVER (PARTITION BY r ORDER BY j) AS g FROM cover JOIN tok USING (r, j)) GROUP BY r, g),
+spans AS (SELECT r, string_agg(a || ':' || z, ',' ORDER BY a) AS spans FROM island GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r),
+hits AS (SELECT r, count(*) AS n_hit FROM cover GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM w LEFT JOIN hits USING (r) LEFT JOIN items USING (r) LEFT JOIN spans USING (r)
+"""
+
+
 @query
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
@@ -98,6 +126,22 @@ def op9_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearset.near_groups(table(spark, sf_dir, "documents"))
 
 
+ORACLE["op9_near_groups"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOW.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, array_to_string(words[j + 1:j + 3], ' ') AS sh FROM (SELECT doc_id, words, unnest(range(greatest(len(words) - 2, CAST(len(words) > 0 AS INT)))) AS j FROM w))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT x, y FROM edge UNION SELECT r.x, b.y FROM reach r JOIN edge b ON r.y = b.x),
+least_of AS (SELECT x AS doc_id, least(x, min(y)) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+
+
 @query
 def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.formatted(table(spark, sf_dir, "conversations"))
