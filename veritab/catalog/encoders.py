@@ -194,7 +194,11 @@ def encoder_state(spark, sf):
     return again.transform(df).exceptAll(m.transform(df)).agg(F.count(F.lit(1)).alias("differences"))
 
 
-@query("encode_training")
+@query(
+    "encode_training",
+    f"""SELECT 'encoded' AS form, count(*) AS rows, {len(t.ROLES.encoding())} AS columns FROM ref UNION ALL SELECT 'decoded', count(*), {len(t.ROLES.names) - 1} FROM ref""",
+    ("ref",),
+)
 def encode_training(spark, sf):
     """Encoded and decoded form of the training table with their shapes."""
     from veritab.plans.encoding import dual_forms

@@ -10,7 +10,7 @@ from veritab.catalog.registry import query
 from veritab.functions.distributed import checkpointed
 from veritab.operators import detect, features, scoring
 from veritab.operators.split import stratified_split
-from veritab.plans import utility
+from veritab.plans import report, utility
 from veritab.plans.utility import TreeParams
 
 BOOSTED = TreeParams(rounds=500)  # at most: a held-out part stops earlier
@@ -77,6 +77,54 @@ def threshold_sweep(spark, sf):
     return scores(scoring.threshold_sweep(t.scored(spark, sf), "y", "p", "f1"))
 
 
+def _area(rows: str, group: str) -> str:
+    """Areas under the curve of (group, y, p) rows by average ranks."""
+    return f"""SELECT {group}, (sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * CAST(sum(1 - y) AS DOUBLE)) AS auroc
+  FROM (SELECT {group}, y, rank() OVER (PARTITION BY {group} ORDER BY p) + (count(*) OVER (PARTITION BY {group}, p) - 1) / 2.0 AS rk FROM {rows}) GROUP BY 1"""
+
+
+@query(
+    "detection_tiers",
+    f"""WITH d AS (SELECT segment, 0 AS y, price AS p FROM ref UNION ALL SELECT segment, 1, price FROM syn), a AS ({_area('d', 'segment')})
+  SELECT segment, round(auroc, 6) AS auroc, CASE WHEN auroc <= 0.55 THEN 'Excellent' WHEN auroc <= 0.65 THEN 'Good' WHEN auroc <= 0.75 THEN 'Fair' ELSE 'Poor' END AS tier FROM a""",
+    ("ref", "syn"),
+)
+def detection_tiers(spark, sf):
+    """How far the price alone tells synthetic rows from real ones, per segment."""
+    cols = ["segment", "y", "price"]
+    both = t.ref(spark, sf).withColumn("y", F.lit(0)).select(*cols).unionByName(t.syn(spark, sf).withColumn("y", F.lit(1)).select(*cols))
+    found = scoring.auroc(both, "y", "price", ["segment"])
+    return scores(found.select("segment", "auroc", report.detection_tier(F.col("auroc")).alias("tier")))
+
+
+@query(
+    "gap_tiers",
+    f"""WITH d AS (SELECT nation, y, p FROM scored JOIN tst USING (row_id)), o AS (SELECT 1 AS one, y, p FROM d), g AS (
+    SELECT (SELECT auroc FROM ({_area('o', 'one')})) - auroc AS gap FROM ({_area('d', 'nation')}))
+  SELECT round(gap, 6) AS score, CASE WHEN gap < 0.02 THEN 'Excellent' WHEN gap < 0.05 THEN 'Acceptable' ELSE 'High' END AS tier,
+         CASE WHEN gap < 0.02 THEN 'Excellent' WHEN gap < 0.05 THEN 'Acceptable' ELSE 'High' END || ' utility loss' AS wording FROM g""",
+    ("scored", "tst"),
+)
+def gap_tiers(spark, sf):
+    """Tier of the score's loss per nation against all rows."""
+    rows = t.scored(spark, sf).join(t.tst(spark, sf).select("row_id", "nation"), "row_id")
+    whole = scoring.auroc(rows, "y", "p").select(F.col("auroc").alias("whole"))
+    each = scoring.auroc(rows, "y", "p", ["nation"]).crossJoin(F.broadcast(whole))  # one row
+    gaps = each.select(F.lit("utility_gap").alias("metric"), (F.col("whole") - F.col("auroc")).alias("score"))
+    return scores(report.tiers(gaps).select("score", "tier", "wording"))
+
+
+@query(
+    "calibration_split",
+    """SELECT row_id, target, CASE WHEN row_number() OVER (PARTITION BY target ORDER BY md5(CAST(row_id AS VARCHAR) || ':cal42'), row_id)
+    <= floor(count(*) OVER (PARTITION BY target) * 0.8) THEN 'train' ELSE 'test' END AS split FROM ref""",
+    ("ref",),
+)
+def calibration_split(spark, sf):
+    """The rows that a calibrated model trains on, and those that its calibrator is fitted on."""
+    return stratified_split(t.ref(spark, sf).select("row_id", "target"), "target", "row_id", 0.8, "cal42")
+
+
 def _detect(method: str):
     def run(spark, sf):
         return detect.detection(t.ref(spark, sf), t.syn(spark, sf), t.ROLES, method)

@@ -151,6 +151,24 @@ def table_fingerprint(spark, sf):
     return runs.table_fingerprint(t.pop(spark, sf), ["row_id", "target", "price", "priority", "tier"])
 
 
+@query(
+    "score_sinks",
+    """WITH s AS (SELECT event_type AS run, CAST(hour(ts) % 3 AS INT) AS generation, count(*) AS rows, round(sum(value), 4) AS total FROM events GROUP BY ALL)
+  SELECT sink, s.* FROM s, (VALUES ('csv'), ('json'), ('parquet')) AS k(sink)""",
+)
+def score_sinks(spark, sf):
+    """A scores table through every sink and back."""
+    ev = t.table(spark, sf, "events").select(F.col("event_type").alias("run"), (F.hour("ts") % 3).cast("int").alias("generation"), "value")
+    base = new_folder(spark, "sinks")
+    typed.write_scores(ev, f"{base}/parquet")
+    typed.write_json(ev, f"{base}/json")
+    typed.write_csv(ev, f"{base}/csv")
+    back = {"parquet": spark.read.parquet(f"{base}/parquet"), "json": spark.read.json(f"{base}/json"), "csv": spark.read.option("header", True).csv(f"{base}/csv")}
+    rows = [df.select(F.lit(k).alias("sink"), F.col("run").cast("string").alias("run"), F.col("generation").cast("int").alias("generation"), F.col("value").cast("double").alias("value")) for k, df in back.items()]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return every.groupBy("sink", "run", "generation").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("run_record")
 def run_record(spark, sf):
     return runs.run_record(t.syn(spark, sf), "demo", "planted", 7, 0, None, {"source": "pop"}, 0.0)
