@@ -98,13 +98,14 @@ def units(text: str, least: int, short_line: int = LINE) -> Iterator[tuple[int,
 
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: whether it is part of a word (as for KEEP), and 64 bits for its lower-case form."""
-    every = [chr(i) for i in range(sys.maxunicode + 1)]
-    low = np.fromiter((ord(x.lower()[0]) for x in every), np.uint64, len(every))
-    with np.errstate(over="ignore"):
-        low = (low + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        low = (low ^ (low >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.fromiter((x.isalnum() for x in every), bool, len(every)), low
+    """By code point: whether it is part of a word (as for KEEP), and its lower-case form."""
+    part, low = np.zeros(sys.maxunicode + 1, bool), np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    for i in range(sys.maxunicode + 1):  # one by one, as a list of all characters would stay in the worker's memory
+        x = chr(i)
+        if x.isalnum():
+            part[i] = True
+            low[i] = ord(x.lower()[0])
+    return part, low
 
 
 @cache
@@ -115,7 +116,7 @@ def _weights(n: int) -> np.ndarray:
 
 def _words(text: str) -> tuple[bytes, np.ndarray]:
     """64-bit hashes of the words of a text in a row, and the words' offsets (2 x words)."""
-    part, letter = _letters()
+    part, low = _letters()
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = part[code]
     edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0)).astype(np.int32)
@@ -126,7 +127,9 @@ def _words(text: str) -> tuple[bytes, np.ndarray]:
     first = np.cumsum(length) - length
     place = np.arange(int(length.sum())) - np.repeat(first, length)
     with np.errstate(over="ignore"):
-        hashes = np.add.reduceat(letter[code[inside]] * _weights(1 << int(length.max()).bit_length())[place], first)
+        letter = (low[code[inside]].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        letter = (letter ^ (letter >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = np.add.reduceat(letter * _weights(1 << int(length.max()).bit_length())[place], first)
         hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     return hashes.tobytes(), at
 
