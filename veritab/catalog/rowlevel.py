@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from veritab.catalog import tables as t
 from veritab.catalog.columns import scores
 from veritab.catalog.registry import query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values: (metric, lowest score, below this score, tier, wording).
@@ -72,4 +72,5 @@ def assessment(tiered: DataFrame) -> DataFrame:
 
 def timing_share(stages: DataFrame) -> DataFrame:
     """(stage, seconds, share) with one row per stage; a stage without a time stays null."""
-    return stages.select("stage", "seconds", F.try_divide("seconds", F.sum("seconds").over(Window.partitionBy())).alias("share"))
+    whole = stages.agg(F.sum("seconds").alias("_all"))  # one row
+    return stages.crossJoin(F.broadcast(whole)).select("stage", "seconds", F.try_divide("seconds", "_all").alias("share"))
