@@ -21,11 +21,11 @@ rows that are equal in both one keeps its units, the others lose all of them. Fu
 
 from __future__ import annotations
 
-import hashlib
 import re
 import sys
 from collections.abc import Iterator
 from functools import cache, reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,7 +43,7 @@ LINE = 3
 PASSAGE = 50
 GRAM = 12
 STEP = 7  # offsets of a stretch, about the square root of those of a run
-UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t\r\n])|(?=\n)|\Z)")
+END = re.compile(r"[.!?]+(?=[ \t\r])")  # of a sentence inside a line
 KEEP = re.compile(r"[^\W_]+")
 ROWS = "doc bigint, k binary, start int, stop int, high bigint, low bigint, units int"
 RUNS = "doc bigint, k binary, gram bigint, high bigint, low bigint, at int, lo int, hi int, start int, stop int, first_stop int, n int"
@@ -55,7 +55,7 @@ NO_ID = -(2**63)  # stands for a null doc_id, which ranks first
 
 
 def _digest(kind: bytes, words: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode(), digest_size=16, person=kind).digest()
+    return xxhash.xxh3_128_digest(kind + b":" + " ".join(words).encode())
 
 
 def _trimmed(text: str, start: int, stop: int) -> tuple[int, int]:
@@ -73,8 +73,7 @@ def units(text: str, least: int, short_line: int = LINE) -> Iterator[tuple[int,
         end = len(text) if end < 0 else end
         line: list[str] = []
         short, here = False, at
-        while here < end:
-            stop = max(UNIT.match(text, here, end).end(), here + 1)
+        for stop in chain((m.end() for m in END.finditer(text, at, end)), (end,)):
             words = KEEP.findall(text[here:stop].lower())
             line += words
             if len(words) >= least:
@@ -141,12 +140,22 @@ def _long(digest: bytes) -> int:
 def _cut(least: int, line: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, k, text in batch.itertuples(index=False, name=None):
-                found = list(units(text or "", least, line))
-                out.append((doc, k, -1, -1, 0, 0, sum(x[3] for x in found)))  # each row is there, with or without units
-                out += [(doc, k, a, b, _long(d[:8]), _long(d[8:]), 0) for a, b, d, _ in found]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")])
+            found: list[tuple] = []
+            many = np.zeros(len(batch), np.int64)
+            for i, text in enumerate(batch["text"]):
+                found.append((-1, -1, bytes(16), False))  # each row is there, with or without units
+                found += units(text or "", least, line)
+                many[i] = len(found)
+            start, stop, digests, sentence = zip(*found, strict=True)
+            many = np.diff(many, prepend=0)
+            head = np.cumsum(many) - many
+            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            counts = np.zeros(len(found), np.int64)
+            counts[head] = np.add.reduceat(np.array(sentence, np.int64), head)
+            of = np.repeat(np.arange(len(batch)), many)
+            yield pd.DataFrame({
+                "doc": batch["doc"].to_numpy()[of], "k": batch["k"].to_numpy()[of], "start": np.array(start), "stop": np.array(stop),
+                "high": both[:, 0], "low": both[:, 1], "units": counts})
 
     return run
 
