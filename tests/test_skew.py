@@ -321,3 +321,24 @@ def test_wide_one_hot_is_sparse(spark):
     assert back.exceptAll(df.select("id", "k")).count() == 0 and back.count() == 12_000
     unseen = model.transform(spark.createDataFrame([(1, "other", 1.0)], "id bigint, k string, a double"))
     assert unseen.first()["k__sparse"].numNonzeros() == 0 and model.inverse(unseen).first().k is None
+
+
+def test_pairs_of_blocks_are_not_shuffled(clouds):
+    x, _, dx, dy = clouds
+    plan = spatial.kernel_sums(dx, dy, 0.2, 16, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    keyed = dx.withColumn("side", F.when(F.col("id") < 40, 0).otherwise(1).cast("int")).coalesce(1).sortWithinPartitions("side")
+    rows = spatial.packed(keyed, "side", 16).collect()
+    assert all(r.n <= 16 and len(r.id) == 8 * r.n and len(r.v) == 24 * r.n for r in rows)
+    assert sorted(i for r in rows for i in np.frombuffer(r.id, np.int64).tolist()) == list(range(len(x)))
+
+
+def test_many_copies_and_null_ids_have_neighbours(spark):
+    # 300 copies of one vector in blocks of 16 rows, and rows without an id
+    data = [(i, [0.0, 0.0]) for i in range(300)] + [(1000 + i, [float(i + 1), 1.0]) for i in range(40)] + [(None, [7.0, 7.0]), (None, [9.0, 9.0])]
+    pts = spark.createDataFrame(data, "id bigint, v array<double>")
+    got = {r.id: r.radius for r in spatial.knn_radius(pts, 3, 16).where("id is not null").collect()}
+    v = np.array([p for _, p in data])
+    d = dist(v, v)
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose([got[i] for i, _ in data[:340]], np.sort(d, 1)[:340, 2], atol=1e-12) and len(got) == 340
