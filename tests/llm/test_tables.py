@@ -225,3 +225,19 @@ def test_pipeline_stages(spark, sf):
         if name != "bpe":
             assert docs.columns == columns
     assert docs.columns == ["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"]
+
+
+def test_prices_take_the_tables_drawn_in_the_sweeps(spark, monkeypatch):
+    counts = {f"w{i}": 1 + 900 // (i + 1) for i in range(300)} | {"": 90, "é" * 40: 1}
+    words = spark.createDataFrame(list(counts.items()), "word string, c bigint").repartition(3)
+    m, seats = pitmanyor.learned(words)
+    rows = seats.collect()
+    assert {r.word: r.c for r in rows} == counts and seats.columns == ["word", "c", "t0", "t1"]
+    w, c = [r.word.encode() for r in rows], np.array([r.c for r in rows], float)
+    tables = [np.array([r[f"t{k}"] for r in rows], float) for k in range(2)]
+    for s, t in zip(m.samples, tables, strict=True):
+        assert s.tables == t.sum() and (t == s.draw(w, c)).all() and (t > 1).any()
+    assert len(pitmanyor.learned(words.limit(0))[0].samples) == 2
+    again = m.probability(w, c)
+    monkeypatch.setattr(pitmanyor, "seated", None)
+    assert (m.probability(w, c, tables) == again).all()
