@@ -2,7 +2,7 @@
 
 Components become integers, floor(256 * x). Vectors are dealt into blocks; a block keeps its vectors as cells of at most
 sixteen per dimension (a corner and a width) beside the exact integers. Queries are dealt into chunks, and each pair of a
-chunk and a block is one row: the cells give bounds on every score, exact vectors are then read in the order of their
+chunk and a block is one row of a Cartesian product: the cells give bounds on every score, exact vectors are then read in the order of their
 bounds until none that is left can reach the kth score. The best k of each block meet in one ranking per query.
 
 Rows whose id is null, and vectors that are null or hold null or non-finite components, take no part. Vectors are compared
@@ -47,10 +47,10 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([out], columns=[c.split()[0] for c in PACKED.split(", ")])
 
 
-def packed(rows: DataFrame, size: int, count: int) -> tuple[DataFrame, int]:
+def packed(rows: DataFrame, size: int, count: int) -> DataFrame:
     """Rows dealt by id and vector into parts of about `size`, one packed row per part and dimension."""
     parts = max(1, -(-count // size))
-    return rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")).groupBy("part", "dim").applyInPandas(_pack, PACKED), parts
+    return rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")).groupBy("part", "dim").applyInPandas(_pack, PACKED)
 
 
 def best(query: np.ndarray, own: int, ids: np.ndarray, base: np.ndarray, slack: tuple[float, float], exact: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,11 +97,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     rows = integers(vectors)
     asked = F.col("vec_id") % every == 0
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("q")).first()
-    blocks, parts = packed(rows, BLOCK, n.n)
-    file = stored(blocks, "cells")
-    chunks, _ = packed(rows.where(asked).distinct(), CHUNK, n.q)
-    each = chunks.select("dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    pairs = each.join(file, ["part", "dim"]).select("dim", "q_n", "q_ids", "q_exact", "n", "ids", "corner", "shift", "cells", "exact")
+    file = stored(packed(rows, BLOCK, n.n), "cells")
+    chunks = stored(packed(rows.where(asked).distinct(), CHUNK, n.q), "chunks")
+    each = chunks.select(F.col("dim").alias("q_dim"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"))
+    # a Cartesian product: its tasks read both sides where they are stored, so no chunk is copied to a row per block, shuffled or broadcast
+    pairs = each.hint("shuffle_replicate_nl").join(file, F.col("q_dim") == F.col("dim")).select("dim", "q_n", "q_ids", "q_exact", "n", "ids", "corner", "shift", "cells", "exact")
     found = pairs.mapInPandas(_search(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
